@@ -29,6 +29,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gleaner.session import ship
+
 BLOCK_BYTES = 8 << 20
 PART_BYTES = 2 << 20
 BLOCK_SCHEMA = "block string, body binary"
@@ -140,6 +142,7 @@ def blocks(docs: DataFrame, weight: str = "text", block_bytes: int = BLOCK_BYTES
         if held:
             yield out()
 
+    ship(docs.sparkSession)
     return docs.mapInArrow(cut, BLOCK_SCHEMA)
 
 
@@ -172,8 +175,10 @@ def tokens(text: pa.ChunkedArray | pa.Array, lower: bool) -> tuple[np.ndarray, p
 
 
 def plan_bytes(df: DataFrame) -> int:
-    """Catalyst's estimate of a plan's size."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    """Bytes of the tables that a plan reads; by its partitions where Catalyst doesn't know them."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    total = sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
+    return total if total < 1 << 53 else df.rdd.getNumPartitions() * (64 << 20)
 
 
 def parts_for(df: DataFrame, part_bytes: int = PART_BYTES) -> int:
