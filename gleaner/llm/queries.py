@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleaner.llm import fingerprints, sharding, simhash, substrings, token_counts
+from gleaner.llm import fingerprints, lm_scoring, sharding, simhash, substrings, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -22,6 +22,10 @@ def _tokenizer(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score_documents(_documents(spark, sf_dir))
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.digests(_documents(spark, sf_dir))
 
@@ -42,4 +46,4 @@ def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_documents(_documents(spark, sf_dir))
 
 
-QUERIES |= {f.__name__: f for f in (op2_substring_dedup, op3_token_counts, op4_simhash_near_dedup, op9_sharding, op10_document_fingerprints)}
+QUERIES |= {f.__name__: f for f in (op1_lm_scoring, op2_substring_dedup, op3_token_counts, op4_simhash_near_dedup, op9_sharding, op10_document_fingerprints)}
