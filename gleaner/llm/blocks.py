@@ -36,8 +36,9 @@ PART_BYTES = 2 << 20
 BLOCK_SCHEMA = "block string, body binary"
 ANSWER_SCHEMA = "block string, part int, body binary"
 
+_U = np.uint64
 _C1, _C2, _C3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93))
-_U = [np.uint64(i) for i in range(65)]
+_N = [np.uint64(i) for i in range(65)]
 
 
 # ---------------------------------------------------------------- hashing
@@ -46,11 +47,11 @@ _U = [np.uint64(i) for i in range(65)]
 def mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each ordered pair."""
     x = a * _C1
-    x ^= x >> _U[31]
+    x ^= x >> _N[31]
     x += b * _C2
-    x ^= x >> _U[29]
+    x ^= x >> _N[29]
     x *= _C3
-    x ^= x >> _U[32]
+    x ^= x >> _N[32]
     return x
 
 
@@ -78,7 +79,7 @@ def window_hashes(h: np.ndarray, width: int) -> np.ndarray:
 
 def part_of(h: np.ndarray, parts: int) -> np.ndarray:
     """The range of hash values that ``h`` is in; grows with ``h``."""
-    return (((h >> _U[32]) * np.uint64(parts)) >> _U[32]).astype(np.int64)
+    return (((h >> _N[32]) * np.uint64(parts)) >> _N[32]).astype(np.int64)
 
 
 def cuts_of(sorted_h: np.ndarray, parts: int) -> np.ndarray:

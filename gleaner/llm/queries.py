@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleaner.llm import fingerprints, langid, lm_scoring, sharding, simhash, substrings, token_counts
+from gleaner.llm import decontam, fingerprints, langid, lm_scoring, sharding, simhash, substrings, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -42,6 +42,10 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(_documents(spark, sf_dir))
 
 
+def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find_contaminated(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(_documents(spark, sf_dir), shards=8)
 
@@ -50,4 +54,4 @@ def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_documents(_documents(spark, sf_dir))
 
 
-QUERIES |= {f.__name__: f for f in (op1_lm_scoring, op2_substring_dedup, op3_token_counts, op4_simhash_near_dedup, op5_language_id, op9_sharding, op10_document_fingerprints)}
+QUERIES |= {f.__name__: f for f in (op1_lm_scoring, op2_substring_dedup, op3_token_counts, op4_simhash_near_dedup, op5_language_id, op6_benchmark_decontamination, op9_sharding, op10_document_fingerprints)}
