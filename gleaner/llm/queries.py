@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleaner.llm import decontam, fingerprints, langid, lm_scoring, sharding, simhash, substrings, token_counts
+from gleaner.llm import decontam, fingerprints, langid, licenses, lm_scoring, sentencepieces, sharding, simhash, substrings, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -46,6 +46,14 @@ def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontam.find_contaminated(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepieces.digests(_documents(spark, sf_dir), _tokenizer("piece_bpe_32k.model"))
+
+
+def op8_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(_documents(spark, sf_dir))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(_documents(spark, sf_dir), shards=8)
 
@@ -54,4 +62,5 @@ def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_documents(_documents(spark, sf_dir))
 
 
-QUERIES |= {f.__name__: f for f in (op1_lm_scoring, op2_substring_dedup, op3_token_counts, op4_simhash_near_dedup, op5_language_id, op6_benchmark_decontamination, op9_sharding, op10_document_fingerprints)}
+QUERIES |= {f.__name__: f for f in (op1_lm_scoring, op2_substring_dedup, op3_token_counts, op4_simhash_near_dedup, op5_language_id, op6_benchmark_decontamination, op7_sentencepiece, op8_license_scans, op9_sharding, op10_document_fingerprints)}
+ORACLES |= {"op8_license_scans": licenses.ORACLE}
