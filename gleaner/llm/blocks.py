@@ -19,6 +19,8 @@ that finds no block of that name raises an error instead of giving a wrong resul
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -31,7 +33,7 @@ from pyspark.sql import functions as F
 
 from gleaner.session import ship
 
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 PART_BYTES = 2 << 20
 BLOCK_SCHEMA = "block string, body binary"
 ANSWER_SCHEMA = "block string, part int, body binary"
@@ -172,6 +174,13 @@ def tokens(text: pa.ChunkedArray | pa.Array, lower: bool) -> tuple[np.ndarray, p
     return coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary, starts
 
 
+def release() -> None:
+    """Gives a block's memory back to the system before the next one."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 # ---------------------------------------------------------------- exchange
 
 
@@ -195,6 +204,8 @@ def emitted(source: DataFrame, emit: Callable[[str, pa.Table, dict[str, list]],
             for i in range(batch.num_rows):
                 name, table, got = _block_row(batch, i, answers)
                 rows = list(emit(name, table, got))
+                del table, got
+                release()
                 if rows:
                     yield pa.RecordBatch.from_pydict({"part": pa.array([p for p, _ in rows], pa.int32()), "block": [name] * len(rows), "body": pa.array([b for _, b in rows], pa.binary())})
 
@@ -227,7 +238,10 @@ def mapped(source: DataFrame, work: Callable[[pa.Table, dict[str, list]], pa.Tab
         for batch in batches:
             for i in range(batch.num_rows):
                 _, table, got = _block_row(batch, i, answers)
-                yield from work(table, got).to_batches(max_chunksize=2000)
+                made = work(table, got)
+                del table, got
+                yield from made.to_batches(max_chunksize=2000)
+                release()
 
     return source.mapInArrow(run, schema)
 
