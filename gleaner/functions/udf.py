@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from gleaner.session import ship
+
 
 def vectorised(fn: Callable, returns: str) -> Callable[..., Column]:
     """A pandas UDF that applies ``fn`` to each distinct row of arguments in a batch once."""
@@ -24,6 +26,7 @@ def vectorised(fn: Callable, returns: str) -> Callable[..., Column]:
     made: list = []
 
     def call(*columns: Column) -> Column:
+        ship(SparkSession.active())
         if not made:  # a session is needed for this
             made.append(F.pandas_udf(run, returns))
         return made[0](*columns)
