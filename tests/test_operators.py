@@ -1,7 +1,9 @@
 """Merges, verdicts, frontier and streams on small tables."""
 
+import time
 from datetime import datetime
 
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.operators import crawl, merge, verify
@@ -89,8 +91,12 @@ def test_sources(spark, tmp_path):
 
 
 def _finish(query):
-    query.processAllAvailable()
+    """Waits for rows in the sink; a stream with timeouts never runs out of batches."""
+    end = time.time() + 60
+    while time.time() < end and query.isActive and not (query.lastProgress and SparkSession.active().table(query.name).count()):
+        time.sleep(0.3)
     query.stop()
+    assert query.exception() is None
 
 
 def test_streams(spark, tmp_path):
