@@ -28,9 +28,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gleaner.checkpoints import cut_lineage, ensure_checkpoint_dir  # noqa: F401
 from gleaner.session import ship
 
 BLOCK_BYTES = 4 << 20
@@ -252,26 +253,3 @@ def _block_row(batch: pa.RecordBatch, i: int, answers: tuple[str, ...]) -> tuple
         raise RuntimeError(f"block {name} is gone: the documents aren't a deterministic plan; write them as a table first")
     got = {a: sorted(((x["part"], x["body"]) for x in batch.column(a)[i].as_py() or ()), key=lambda x: x[0]) for a in answers}
     return name, from_ipc(body), got
-
-
-# ---------------------------------------------------------------- lineage
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """The rows, checkpointed in the folder that all executors share."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
-
-
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """The session's spark.checkpoint.dir; a folder of our own only where it is unset, as in tests."""
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        where = spark.conf.get("spark.checkpoint.dir", None)
-        if where is None:
-            if not sc.master.startswith("local[") and sc.master != "local":
-                raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-            import tempfile
-
-            where = tempfile.mkdtemp(prefix="gleaner-checkpoints-")
-        sc.setCheckpointDir(where)

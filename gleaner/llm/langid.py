@@ -3,8 +3,8 @@
 Texts are lower-cased and all but letters becomes single spaces; their byte n-grams (one to three
 bytes) are hashed to ``DIMENSIONS`` and weighted by TF-IDF at length one.  Labelled training texts of each language are clustered by
 spherical k-means into a few centroids, and a text goes to the language of the centroid with the
-highest cosine.  A text whose best cosine is under the learned ``floor`` is too far from every
-centroid and is marked as rejected.
+highest cosine.  A text of at least ``EVIDENCE`` bytes whose best cosine is under the learned
+``floor`` is too far from every centroid and is marked as rejected; so is a text without letters.
 
 The classifier is fitted on a bounded sample, at most ``PER_LANGUAGE`` labelled rows of each of the
 ``MOST_LANGUAGES`` commonest languages, taken by the smallest hashes of their ids; the model is at
@@ -33,8 +33,9 @@ from gleaner.session import ship
 DIMENSIONS, CENTROIDS, PER_LANGUAGE, MOST_LANGUAGES = 4096, 4, 400, 256
 FOLDS, HELD_OUT = 5, 0
 UNKNOWN = "und"
-#: The floor is this share of the lowest cosine of a sampled text to its own language: short clean texts stay above it.
-FLOOR_SHARE = 0.1
+#: The floor is this share of the lowest cosine that a sampled text of EVIDENCE bytes or more has to its own language.
+#: Shorter texts are too little evidence of being far from everything, and aren't rejected.
+FLOOR_SHARE, EVIDENCE = 0.3, 120
 #: Bytes of text whose n-grams are counted at once.
 STEP = 1 << 20
 
@@ -130,7 +131,9 @@ def fit(docs: DataFrame) -> Model | None:
         of += [k] * len(made)
     c, owner = np.concatenate(centroids), np.array(of)
     best = np.where(owner[None, :] == label[:, None], x @ c.T, -1).max(axis=1)
-    return Model(languages, idf, c.astype(np.float32), owner, float(max(0, best.min()) * FLOOR_SHARE))
+    long_enough = best[counts.sum(axis=1) >= 3 * EVIDENCE]
+    floor = float(max(0, long_enough.min()) * FLOOR_SHARE) if len(long_enough) else 0.0
+    return Model(languages, idf, c.astype(np.float32), owner, floor)
 
 
 def _cluster(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
@@ -166,12 +169,13 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
                 if m is None:
                     lang, score, far = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool)
                 else:
-                    cos = _weighted(vectors(texts), m.idf) @ m.centroids.T
+                    counts = vectors(texts)
+                    cos = _weighted(counts, m.idf) @ m.centroids.T
                     by_lang = np.stack([cos[:, m.of == k].max(axis=1) for k in range(len(m.languages))], axis=1)
                     best = np.argmax(by_lang, axis=1)
                     score = np.where(lettered, np.clip(by_lang.max(axis=1), 0, 1), 0).astype(np.float64)
                     lang = [m.languages[k] if ok else UNKNOWN for k, ok in zip(best.tolist(), lettered.tolist(), strict=True)]
-                    far = ~lettered | (score < m.floor)
+                    far = ~lettered | ((score < m.floor) & (counts.sum(axis=1) >= 3 * EVIDENCE))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(far)], names=[*part.schema.names, "_lang", "_score", "_rejected"])
 
     schema = StructType([*rows.schema.fields, StructField("_lang", StringType()), StructField("_score", DoubleType()), StructField("_rejected", BooleanType())])
