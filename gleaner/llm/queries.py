@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleaner.llm import decontam, fingerprints, langid, licenses, lm_scoring, sentencepieces, sharding, simhash, substrings, token_counts
+from gleaner.llm import decontam, fingerprints, langid, licenses, lm_scoring, oracles, sentencepieces, sharding, simhash, substrings, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -63,4 +63,4 @@ def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {f.__name__: f for f in (op1_lm_scoring, op2_substring_dedup, op3_token_counts, op4_simhash_near_dedup, op5_language_id, op6_benchmark_decontamination, op7_sentencepiece, op8_license_scans, op9_sharding, op10_document_fingerprints)}
-ORACLES |= {"op8_license_scans": licenses.ORACLE}
+ORACLES |= {"op2_substring_dedup": oracles.SUBSTRINGS, "op8_license_scans": licenses.ORACLE, "op9_sharding": oracles.SHARDS}
