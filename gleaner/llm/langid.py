@@ -93,16 +93,23 @@ def _fold():
     return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(FOLDS))
 
 
+def _pick():
+    return F.shiftrightunsigned(F.xxhash64(F.col("doc_id")), 11).cast("double") / float(1 << 53)
+
+
 def fit(docs: DataFrame) -> Model | None:
     """Learns from labelled documents outside the held-out fold; None if there are none."""
     ship(docs.sparkSession)
     slim = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["lang"].cast("string").alias("lang")).filter((_fold() != HELD_OUT) & F.col("lang").isNotNull() & (F.col("lang") != UNKNOWN))
-    common = slim.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).select("lang")
-    pick = F.xxhash64(F.col("doc_id"))
-    ranked = slim.join(F.broadcast(common), "lang").withColumn("pick", pick).withColumn("rank", F.expr("row_number() over (partition by lang order by pick, doc_id)"))
+    slim = slim.withColumn("pick", _pick())
+    common = slim.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES)
+    # Picks are uniform in [0, 1), so the smallest of a language lie under this; only these few are ranked, each id once.
+    few = slim.join(F.broadcast(common), "lang").filter(F.col("pick") * F.col("n") <= 4 * PER_LANGUAGE).select("lang", "pick").distinct()
+    ranked = few.withColumn("rank", F.expr("row_number() over (partition by lang order by pick)"))
     last = ranked.filter(F.col("rank") <= PER_LANGUAGE).groupBy("lang").agg(F.max("pick").alias("last"))
     sample = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["lang"].cast("string").alias("lang"), docs["text"].cast("string").alias("text")).filter(_fold() != HELD_OUT)
-    sample = sample.join(F.broadcast(last), "lang").filter(pick <= F.col("last")).select("lang", "text")
+    sample = sample.withColumn("pick", _pick()).join(F.broadcast(last), "lang").filter(F.col("pick") <= F.col("last"))
+    sample = sample.groupBy("lang", "pick").agg(F.min("text").alias("text")).select("lang", "text")
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
