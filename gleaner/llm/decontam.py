@@ -3,12 +3,16 @@
 Numbers, quantities and names are replaced by typed placeholders, so that a question with other
 numbers or names keeps its template.  Windows of ``WINDOW`` template words of the benchmark are
 looked up in every document by hash.  Windows that line up (same document, same item, same offset)
-are verified word by word, and the placeholders' fillings must be consistent: over the stretch, one
-filling of the item always stands against one filling of the document, and the other way round.  A
-document is contaminated by an item if consistent windows cover ``COVERAGE`` of the item's words.
+and touch make a span, which is verified word by word; its placeholders' fillings must be consistent:
+one filling of the item always stands against one filling of the document, and the other way round.
+Of an inconsistent span only the stretches that are verbatim count.  Consistent spans whose offsets
+differ by no more than the item's length are united, longest first, as far as their fillings agree;
+verbatim ones come first.  A document is contaminated by an item if the united spans cover
+``COVERAGE`` of the item's words, or if ``VERBATIM`` of its words stand there in a row.
 
 Words are lower-cased and stripped of punctuation; a word of digits is a number, a number with a
-unit (joined or as the next word) a quantity, a capitalised word inside a sentence a name.
+unit (joined or as the next word) a quantity, a capitalised word a name; names in a row within a
+sentence are one.  A capitalised word that opens a sentence is a word.
 
 The benchmark is the query set: it is taken in blocks of at most ``BLOCK_BYTES`` of text, so what is
 sent to executors is bounded, and every document meets every block.
@@ -34,6 +38,8 @@ from gleaner.llm.blocks import _U, tokens, window_hashes, word_hashes
 from gleaner.session import ship
 
 WINDOW, LEAST, COVERAGE = 8, 5, 0.5
+#: Words of an item that contaminate by themselves if they are copied verbatim.
+VERBATIM = 35
 BLOCK_BYTES = 8 << 20
 #: Texts of so many bytes are taken at once.
 STEP = 4 << 20
@@ -61,8 +67,8 @@ def classify(token: str) -> tuple[int, str, bool]:
     return (NAME if plain[0].isupper() and not plain.isupper() else WORD), plain.lower(), ends
 
 
-class Templates:
-    """Template words of a column of texts: hashes of template and of filling, where each text starts."""
+class Words:
+    """Words of a column of texts: kind, filling, text and sentence of each, and where each text starts."""
 
     def __init__(self, text: pa.Array) -> None:
         codes, words, starts = tokens(text, lower=False)
@@ -75,17 +81,39 @@ class Templates:
         # Punctuation alone is no word, but it can end a sentence.
         full = kind != NONE
         sentence = np.cumsum(np.concatenate([[False], ends[:-1]])) if len(ends) else np.empty(0, np.int64)
-        kind, filling, doc, sentence = kind[full], filling[full], doc[full], sentence[full]
-        fresh = np.concatenate([[True], (doc[1:] != doc[:-1]) | (sentence[1:] != sentence[:-1])])[: len(doc)]
+        self.kind, self.filling, self.doc, self.sentence = kind[full], filling[full], doc[full], sentence[full]
+        self.starts = np.searchsorted(self.doc, np.arange(len(starts)))
+
+
+class Templates:
+    """Template words of texts: hashes of template and of filling, the words that each stands for, where each text starts.
+
+    ``loose``: a capitalised word is a name wherever it stands; otherwise it's a word at the start of a sentence.
+    """
+
+    def __init__(self, words: Words, loose: bool) -> None:
+        kind, filling, doc, sentence = words.kind, words.filling, words.doc, words.sentence
+        same = np.concatenate([[False], (doc[1:] == doc[:-1]) & (sentence[1:] == sentence[:-1])])[: len(doc)]
         # A unit after a number makes it a quantity, and is a word anywhere else.
         joins = np.concatenate([(kind[:-1] == NUMBER) & (kind[1:] == UNIT) & (doc[1:] == doc[:-1]), [False]])[: len(doc)]
         gone = np.concatenate([[False], joins[:-1]])[: len(doc)]
-        kind = np.where(joins, QUANTITY, np.where((kind == UNIT) | ((kind == NAME) & fresh), WORD, kind))
+        plain = (kind == UNIT) if loose else (kind == UNIT) | ((kind == NAME) & ~same)
+        kind = np.where(joins, QUANTITY, np.where(plain, WORD, kind))
         filling = np.where(joins, filling * _U(31) + np.append(filling[1:], _U(0))[: len(filling)], filling) if len(filling) else filling
-        keep = ~gone
-        self.kind, self.filling, self.doc = kind[keep], filling[keep], doc[keep]
+        # Names in a row are one name.
+        run = np.concatenate([[False], (kind[1:] == NAME) & (kind[:-1] == NAME)])[: len(doc)] & same
+        self.first = np.flatnonzero(~(gone | run))
+        self.end = np.append(self.first[1:], len(doc))[: len(self.first)]
+        if run.any():
+            at = np.arange(len(doc))
+            place = at - np.maximum.accumulate(np.where(run, 0, at))
+            power = np.cumprod(np.concatenate([[_U(1)], np.full(int(place.max()), 0x9E3779B97F4A7C15, _U)]), dtype=_U)
+            filling = np.add.reduceat(np.where(gone, _U(0), filling * power[np.where(gone, 0, place)]), self.first)
+        else:
+            filling = filling[self.first]
+        self.kind, self.filling, self.doc = kind[self.first], filling, doc[self.first]
         self.template = np.where(self.kind == WORD, self.filling, self.kind.astype(_U))
-        self.starts = np.searchsorted(self.doc, np.arange(len(starts)))
+        self.starts = np.searchsorted(self.doc, np.arange(len(words.starts)))
 
 
 def _windows(t: Templates, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -95,49 +123,110 @@ def _windows(t: Templates, width: int) -> tuple[np.ndarray, np.ndarray]:
     return h[at], at
 
 
+def _runs(flags: np.ndarray) -> list[tuple[int, int]]:
+    """Start and end of every run of true values."""
+    edges = np.flatnonzero(np.diff(np.concatenate([[0], flags.astype(np.int8), [0]])))
+    return list(zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True))
+
+
 class Index:
-    """The benchmark block's windows by width: sorted hashes with their places."""
+    """The benchmark block's windows by template and width: sorted hashes with their places."""
 
     def __init__(self, ids: list[int], texts: list[str]) -> None:
-        self.ids, self.t = ids, Templates(pa.array(texts, pa.string()))
-        size = np.diff(self.t.starts)
-        self.by_width: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for width in sorted({min(WINDOW, int(n)) for n in size if n >= LEAST}):
-            h, at = _windows(self.t, width)
-            whole = size[self.t.doc[at]]
-            own = whole >= WINDOW if width == WINDOW else whole == width
-            h, at = h[own], at[own]
-            order = np.argsort(h, kind="stable")
-            self.by_width[width] = (h[order], at[order])
+        self.ids, self.words = ids, Words(pa.array(texts, pa.string()))
+        self.t = [Templates(self.words, loose) for loose in (False,)]
+        self.by_width: list[dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.uint64]]] = []
+        for t in self.t:
+            size, made = np.diff(t.starts), {}
+            for width in sorted({min(WINDOW, int(n)) for n in size if n >= LEAST}):
+                h, at = _windows(t, width)
+                whole = size[t.doc[at]]
+                own = whole >= WINDOW if width == WINDOW else whole == width
+                h, at = h[own], at[own]
+                order = np.argsort(h, kind="stable")
+                # Most windows of a document are turned away by one look at a table of leading bits.
+                shift = _U(64 - min(26, len(h).bit_length() + 5))
+                seen = np.zeros(1 << (64 - int(shift)), bool)
+                seen[h >> shift] = True
+                made[width] = h[order], at[order], seen, shift
+            self.by_width.append(made)
 
     def search(self, text: pa.Array) -> list[tuple[int, int, float]]:
         """(text, item, coverage) of what is contaminated."""
-        d = Templates(text)
-        lined: dict[tuple[int, int, int], list[tuple[int, int]]] = defaultdict(list)
-        for width, (hashes, places) in self.by_width.items():
-            h, at = _windows(d, width)
-            low, high = np.searchsorted(hashes, h), np.searchsorted(hashes, h, "right")
-            for i in np.flatnonzero(high > low).tolist():
-                for place in places[low[i] : high[i]].tolist():
-                    pos = int(at[i])
-                    lined[int(d.doc[pos]), int(self.t.doc[place]), pos - place].append((place, width))
-        best: dict[tuple[int, int], float] = {}
-        for (doc, item, offset), spans in lined.items():
-            covered = np.zeros(int(self.t.starts[item + 1] - self.t.starts[item]), bool)
-            base = int(self.t.starts[item])
-            for place, width in spans:
-                covered[place - base : place - base + width] = True
-            at = np.flatnonzero(covered) + base
-            if self._consistent(at, d, at + offset):
-                best[doc, item] = max(best.get((doc, item), 0), float(covered.mean()))
-        return [(doc, self.ids[item], share) for (doc, item), share in sorted(best.items()) if share >= COVERAGE]
-
-    def _consistent(self, at: np.ndarray, d: Templates, there: np.ndarray) -> bool:
-        if not np.array_equal(self.t.template[at], d.template[there]):
-            return False
-        slot = self.t.kind[at] != WORD
-        pairs = set(zip(self.t.kind[at][slot].tolist(), self.t.filling[at][slot].tolist(), d.filling[there][slot].tolist(), strict=True))
-        return len(pairs) == len({(k, a) for k, a, _ in pairs}) == len({(k, b) for k, _, b in pairs})
+        words = Words(text)
+        spans: dict[tuple[int, int], list[tuple]] = defaultdict(list)
+        for loose in (False,):
+            d, t = Templates(words, loose), self.t[loose]
+            lined: dict[tuple[int, int, int], list[tuple[int, int]]] = defaultdict(list)
+            for width, (hashes, places, seen, shift) in self.by_width[loose].items():
+                h, at = _windows(d, width)
+                likely = np.flatnonzero(seen[h >> shift])
+                h, at = h[likely], at[likely]
+                low, high = np.searchsorted(hashes, h), np.searchsorted(hashes, h, "right")
+                for i in np.flatnonzero(high > low).tolist():
+                    for place in places[low[i] : high[i]].tolist():
+                        pos = int(at[i])
+                        lined[int(d.doc[pos]), int(t.doc[place]), pos - place].append((place, width))
+            for (doc, item, offset), found in lined.items():
+                spans[doc, item] += self._spans(item, offset, found, d, loose)
+        out = []
+        for (doc, item), found in sorted(spans.items()):
+            share, longest = self._cover(item, found)
+            if share >= COVERAGE or longest >= VERBATIM:
+                out.append((doc, self.ids[item], share))
+        return out
+
+    def _spans(self, item: int, offset: int, found: list[tuple[int, int]], d: Templates, loose: bool) -> list[tuple]:
+        """(start and end in the item's words, shift to the document's words, verbatim, pairs of fillings) of the spans that are verbatim or consistent."""
+        t, base = self.t[loose], int(self.t[loose].starts[item])
+        covered = np.zeros(int(t.starts[item + 1]) - base, bool)
+        for place, width in found:
+            covered[place - base : place - base + width] = True
+        at = np.flatnonzero(covered) + base
+        covered[at - base] = t.template[at] == d.template[at + offset]
+        least, start, out = min(WINDOW, len(covered)), int(self.words.starts[item]), []
+
+        def add(a: int, b: int, verbatim: bool, pairs: set) -> None:
+            out.append((int(t.first[a]) - start, int(t.end[b - 1]) - start, int(d.first[a + offset]) - int(t.first[a]), verbatim, pairs))
+
+        for a, b in _runs(covered):
+            a, b = a + base, b + base
+            if b - a < least:
+                continue
+            at = np.arange(a, b)
+            same = t.filling[at] == d.filling[at + offset]
+            slot = t.kind[at] != WORD
+            pairs = list(zip([loose] * int(slot.sum()), t.kind[at][slot].tolist(), t.filling[at][slot].tolist(), d.filling[at + offset][slot].tolist(), strict=True))
+            if not same.all() and _one_to_one(set(pairs)):
+                add(a, b, False, set(pairs))
+            for x, y in _runs(same):
+                if y - x >= least:
+                    inside = np.arange(a + x, a + y)
+                    inside = inside[t.kind[inside] != WORD]
+                    add(a + x, a + y, True, {(loose, k, f, f) for k, f in zip(t.kind[inside].tolist(), t.filling[inside].tolist(), strict=True)})
+        return out
+
+    def _cover(self, item: int, spans: list[tuple]) -> tuple[float, int]:
+        """The largest share of the item's words that consistent spans at near offsets cover, and the longest verbatim span."""
+        size = int(self.words.starts[item + 1] - self.words.starts[item])
+        spans = sorted(spans, key=lambda s: s[2])
+        share, group = 0.0, []
+        for k, span in enumerate(spans):
+            group.append(span)
+            if k + 1 < len(spans) and spans[k + 1][2] - span[2] <= max(WINDOW, size):
+                continue
+            covered, pairs = np.zeros(size, bool), set()
+            for a, b, _, verbatim, own in sorted(group, key=lambda s: (not s[3], s[0] - s[1], s[0], s[2])):
+                if verbatim or _one_to_one(pairs | own):
+                    covered[a:b] = True
+                    pairs |= own
+            share, group = max(share, float(covered.mean())), []
+        return share, max((b - a for a, b, _, verbatim, _ in spans if verbatim), default=0)
+
+
+def _one_to_one(pairs: set[tuple]) -> bool:
+    """Whether each filling of the item stands against one filling of the document, and the other way round."""
+    return len(pairs) == len({p[:3] for p in pairs}) == len({(p[0], p[1], p[3]) for p in pairs})
 
 
 def _blocks(benchmark: DataFrame) -> Iterator[tuple[list[int], list[str]]]:
