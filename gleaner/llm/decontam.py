@@ -12,7 +12,8 @@ verbatim ones come first.  A document is contaminated by an item if the united s
 
 Words are lower-cased and stripped of punctuation; a word of digits is a number, a number with a
 unit (joined or as the next word) a quantity, a capitalised word a name; names in a row within a
-sentence are one.  A capitalised word that opens a sentence is a word.
+sentence are one.  A capitalised word that opens a sentence may be a name or not, so there are two
+templates: in one it's a word, in the other a name.
 
 The benchmark is the query set: it is taken in blocks of at most ``BLOCK_BYTES`` of text, so what is
 sent to executors is bounded, and every document meets every block.
@@ -134,7 +135,7 @@ class Index:
 
     def __init__(self, ids: list[int], texts: list[str]) -> None:
         self.ids, self.words = ids, Words(pa.array(texts, pa.string()))
-        self.t = [Templates(self.words, loose) for loose in (False,)]
+        self.t = [Templates(self.words, loose) for loose in (False, True)]
         self.by_width: list[dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.uint64]]] = []
         for t in self.t:
             size, made = np.diff(t.starts), {}
@@ -155,7 +156,7 @@ class Index:
         """(text, item, coverage) of what is contaminated."""
         words = Words(text)
         spans: dict[tuple[int, int], list[tuple]] = defaultdict(list)
-        for loose in (False,):
+        for loose in (False, True):
             d, t = Templates(words, loose), self.t[loose]
             lined: dict[tuple[int, int, int], list[tuple[int, int]]] = defaultdict(list)
             for width, (hashes, places, seen, shift) in self.by_width[loose].items():

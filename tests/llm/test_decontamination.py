@@ -18,6 +18,16 @@ def words(n, seed):
     return [f"{rng.choice('bcdfg')}{rng.choice('aeiou')}{i}x" for i in range(n)]
 
 
+def test_names_that_open_sentences():
+    other = BASKET.replace("Alice", "Carol").replace("Bob", "Dan").replace("12", "31").replace("5", "7").replace("2 of", "4 of")
+    mixed = "Carol".join(other.split("Carol")[:-1]) + "Erin" + other.split("Carol")[-1]
+    assert hits(BASKET, other, "Well: " + other, mixed) == {0, 1}
+
+
+def test_runs_of_names_are_one_name():
+    assert hits(BASKET, BASKET.replace("Alice", "Mary Ann"), BASKET.replace("Bob", "Mary Ann Lee")) == {0, 1}
+
+
 def test_spans_at_near_offsets_add_up():
     item = words(37, 1)
     assert hits(" ".join(item), " ".join([*item[:13], "really", *item[13:25], "truly", *item[25:]])) == {0}
