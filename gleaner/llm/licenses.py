@@ -53,6 +53,28 @@ KNOWN: list[tuple[str, str]] = [
     ("BSD-3-Clause", f"BSD 3-Clause License\n{_BSD_HEAD}\n{_BSD_THIRD}\n{_BSD_TAIL}"),
     ("Apache-2.0", _APACHE_NOTICE),
 ]
+#: SHA-256 of the canonical forms of longer public texts, with what may follow the terms and, where it's set apart, without it.
+DIGESTS: list[tuple[str, str]] = [
+    ("Apache-2.0", "cc3dbc3d9c9cd1e38d397f2f907b87612564431cdf2e6f9a315e7da9056fe964"),
+    ("Apache-2.0", "00a72d2c197772f2d0b065c5abddbf645cc01fc748e04097fb6a74ce07467fba"),
+    ("Artistic-1.0-Perl", "08f1dc258c8f9e175155356aa1dd0dead8cfdec586bc1bb4c8b1452699a91702"),
+    ("CC0-1.0", "96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f"),
+    ("GFDL-1.2", "689de607e171fe5521f41f62dea04557423a9d99f24f973688311041901ecd33"),
+    ("GFDL-1.3", "d16bab35ebf1ffc87c5807e5636a42d29e02216f9492994a73675ff2520997b2"),
+    ("GPL-1.0", "79a0640b5b958ae9c12954439e599eacc685716b4161c0dc0ad4c12cf231b83b"),
+    ("GPL-1.0", "7404837cbd0f598c5a3f9de3f1381d24b7ce9d57c1331d71b6e0e077dcb8cb42"),
+    ("GPL-2.0", "73ddc8e1e14f7cc45c0d48aa370ae0eeb704fafe17943ab3a281bf7be6a70336"),
+    ("GPL-2.0", "43b7819bfd2bc47075e71b743f3ba588f1dd982e6790a684d126cf97b0a439a5"),
+    ("GPL-3.0", "900cd3f2f980a537f002f5b34e17804f81dec0a547870fd438ff6d67c4e70c0f"),
+    ("GPL-3.0", "e803e00c1885979258ce2c5b6cd615f337fdcb36e9d567b8e7bddcc549044c25"),
+    ("LGPL-2.0", "4d94ee29ba6e5639eadf7f6fc328abc5e0cc332eab88b811cf868e33a2745c2e"),
+    ("LGPL-2.0", "228b3403c00989dffe9407addfff25888433aaedefa15f6a03c19ac58652b79e"),
+    ("LGPL-2.1", "f4d399ebd9d7287cf7f609a5c405cb1a59eb08741ba673a535b0fdaccabb3b23"),
+    ("LGPL-2.1", "8067458db63604bc56f00b8567908ca6236ae9595288f9f66a45e0a329297247"),
+    ("LGPL-3.0", "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be"),
+    ("MPL-1.1", "e9b1410222504e4bd0c76ac0e06143eb0a333c93a74af4948696a7136d7076e9"),
+    ("MPL-2.0", "a975c79c4e706e8418d3869e1b4193888eeabd618c0014a6e60b49d59de2ab2f"),
+]
 #: Names of licences in notices.
 NAMES = {
     "Apache-2.0": ["the Apache License, Version 2.0", "the Apache License 2.0"],
@@ -68,8 +90,11 @@ NAMES = {
     "CC-BY-NC-4.0": ["CC BY-NC 4.0"],
     "CC0-1.0": ["CC0 1.0"],
 }
+_KNOWN_IDS = sorted({*NAMES, *(i for i, _ in KNOWN), *(i for i, _ in DIGESTS)})
+#: Identifiers in SPDX lines; those of GNU licences have two more forms, each an identifier of its own.
+SPDX = [*_KNOWN_IDS, *(f"{i}{form}" for i in _KNOWN_IDS if i.startswith(("GPL-", "LGPL-", "GFDL-")) for form in ("-only", "-or-later"))]
 OPENINGS = ["Licensed under", "Released under", "This work is licensed under", "This software is licensed under", "This file is licensed under", "Distributed under", "Available under"]
-NOTICES: list[tuple[str, str]] = [(i, f"{o} {n}") for i, names in NAMES.items() for n in names for o in OPENINGS] + [(i, f"SPDX-License-Identifier: {i}") for i in NAMES]
+NOTICES: list[tuple[str, str]] = [(i, f"{o} {n}") for i, names in NAMES.items() for n in names for o in OPENINGS] + [(i, f"SPDX-License-Identifier: {i}") for i in SPDX]
 
 _PLAIN = re.compile(r"[\W_]+")
 
@@ -97,9 +122,14 @@ def digest(form: str) -> str:
     return hashlib.sha256(form.encode()).hexdigest()
 
 
+def known_digests(more: list[tuple[str, str]] | None = None) -> list[tuple[str, str]]:
+    """(digest, identifier) of every known text."""
+    return sorted({(digest(plain_canonical(t)), i) for i, t in KNOWN + (more or [])} | {(d, i) for i, d in DIGESTS})
+
+
 def scan_licenses(docs: DataFrame, more: list[tuple[str, str]] | None = None) -> DataFrame:
     """doc_id, digest of the canonical form, license_id of the whole text (null if none), notices (comma-separated ids of known lines, null if none)."""
-    known = sorted({(digest(plain_canonical(t)), i) for i, t in KNOWN + (more or [])})
+    known = known_digests(more)
     if len(known) > MOST_KNOWN or len({d for d, _ in known}) < len(known):
         raise ValueError("too many known texts, or one text with two identifiers")
     spark = docs.sparkSession
@@ -124,7 +154,7 @@ def _oracle() -> str:
             sql = f"regexp_replace({sql}, ' (?:{spelling}) ', ' {one} ', 'g')"
         return f"trim({sql})"
 
-    known = ", ".join(f"({quote(d)}, {quote(i)})" for d, i in sorted({(digest(plain_canonical(t)), i) for i, t in KNOWN}))
+    known = ", ".join(f"({quote(d)}, {quote(i)})" for d, i in known_digests())
     notices = ", ".join(f"({quote(c)}, {quote(i)})" for c, i in sorted({(plain_canonical(t, lines=False), i) for i, t in NOTICES}))
     return f"""
 WITH known(k, license_id) AS (VALUES {known}), notice(c, i) AS (VALUES {notices}),
