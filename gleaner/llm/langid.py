@@ -102,9 +102,10 @@ def fit(docs: DataFrame) -> Model | None:
     ship(docs.sparkSession)
     slim = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["lang"].cast("string").alias("lang")).filter((_fold() != HELD_OUT) & F.col("lang").isNotNull() & (F.col("lang") != UNKNOWN))
     slim = slim.withColumn("pick", _pick())
-    common = slim.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES)
-    # Picks are uniform in [0, 1), so the smallest of a language lie under this; only these few are ranked, each id once.
-    few = slim.join(F.broadcast(common), "lang").filter(F.col("pick") * F.col("n") <= 4 * PER_LANGUAGE).select("lang", "pick").distinct()
+    common = slim.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("pick").alias("picks")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES)
+    # Distinct picks are uniform in [0, 1), so the smallest of a language lie under this, with room for the estimate's
+    # error of some percent; only these few are ranked, each id once.
+    few = slim.join(F.broadcast(common), "lang").filter(F.col("pick") * F.col("picks") <= 4 * PER_LANGUAGE).select("lang", "pick").distinct()
     ranked = few.withColumn("rank", F.expr("row_number() over (partition by lang order by pick)"))
     last = ranked.filter(F.col("rank") <= PER_LANGUAGE).groupBy("lang").agg(F.max("pick").alias("last"))
     sample = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["lang"].cast("string").alias("lang"), docs["text"].cast("string").alias("text")).filter(_fold() != HELD_OUT)
