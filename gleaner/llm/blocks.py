@@ -8,8 +8,11 @@ numpy arrays, and the answers come back in the order of the questions:
     docs -> blocks --emit--> (part, block, body) --groupBy(part)--> answers --join on block--> blocks
 
 ``part`` is a range of hash values, so an item is always judged in one place.  A block sends a hot
-item once however often it occurs there, so no part can grow with one key's frequency: it grows with
-the number of blocks at most.  The number of parts follows the input size.
+item once however often it occurs there, so one item adds one entry for each block to its part, and
+parts are even.  The number of parts follows the input size, but a block never writes more than ``FAN``
+messages: beyond that many parts, messages are gathered by coarse range and group of blocks, their
+items united, and sent on to the finer ranges; answers come back the same way (``answered``).  So the
+rows that are exchanged stay in proportion to the input, with a factor of its logarithm to base FAN.
 
 Blocks are cut by the order of rows within a partition.  ``docs`` must therefore be a deterministic
 plan (a table that is read, and row-wise functions of it); its partitions are then the same when a
@@ -22,6 +25,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +40,8 @@ from gleaner.session import ship
 
 BLOCK_BYTES = 4 << 20
 PART_BYTES = 2 << 20
+#: Messages that a block writes at most.
+FAN = 512
 BLOCK_SCHEMA = "block string, body binary"
 ANSWER_SCHEMA = "block string, part int, body binary"
 
@@ -99,13 +105,19 @@ def pack(*arrays: np.ndarray) -> bytes:
     return head.tobytes() + b"".join(np.ascontiguousarray(a).view(np.uint8).reshape(-1, a.dtype.itemsize).T.tobytes() for a in arrays)
 
 
-def unpack(body: bytes, *kinds: type) -> list[np.ndarray]:
+def narrow(counts: np.ndarray) -> np.ndarray:
+    """Numbers in the smallest type that holds them all."""
+    return counts.astype(np.min_scalar_type(int(counts.max(initial=0))))
+
+
+def unpack(body: bytes, *kinds: type | None) -> list[np.ndarray]:
+    """The arrays of ``pack``; None for unsigned numbers of the width that they were packed in."""
     count = int(np.frombuffer(body, np.int64, 1)[0])
     head = np.frombuffer(body, np.int64, 2 * count, 8).reshape(-1, 2)
     at, out = 8 + 16 * count, []
     for (width, n), kind in zip(head.tolist(), kinds, strict=True):
         planes = np.frombuffer(body, np.uint8, width * n, at).reshape(width, n)
-        out.append(np.ascontiguousarray(planes.T).view(kind).reshape(-1))
+        out.append(np.ascontiguousarray(planes.T).view(kind or f"u{width}").reshape(-1))
         at += width * n
     return out
 
@@ -152,7 +164,7 @@ def blocks(docs: DataFrame, weight: str = "text", block_bytes: int = BLOCK_BYTES
 
 def to_ipc(table: pa.Table) -> bytes:
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, table.schema) as writer:
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
         writer.write_table(table)
     return sink.getvalue().to_pybytes()
 
@@ -213,15 +225,80 @@ def emitted(source: DataFrame, emit: Callable[[str, pa.Table, dict[str, list]],
     return source.mapInArrow(run, "part int, block string, body binary")
 
 
-def answered(sent: DataFrame, reduce: Callable[[list[str], list[bytes]], Iterator[tuple[str, bytes]]]) -> DataFrame:
-    """``reduce`` sees all that was sent to a part and gives a body for each block that asked."""
+@dataclass(frozen=True)
+class Questions:
+    """What an operator asks the corpus.
+
+    ``reduce``: from the askers and bodies that met in a part, the body of an answer for each asker.
+    ``unite``: from several bodies, the sorted hashes of their distinct items, the place of each body's items
+    among them, and a function that makes a body of the items between two places.
+    ``deal``: from the bodies that answer all distinct items, and those places, the body of an answer for each.
+    """
+
+    reduce: Callable[[list[str], list[bytes]], Iterator[tuple[str, bytes]]]
+    unite: Callable[[list[bytes]], tuple[np.ndarray, list[np.ndarray], Callable[[int, int], bytes]]]
+    deal: Callable[[list[bytes], list[np.ndarray]], Iterator[bytes]]
+
+
+def fan(parts: int) -> int:
+    """The number of ranges that a block sends to."""
+    return min(parts, FAN)
+
+
+def answered(sent: DataFrame, questions: Questions, parts: int, now: int | None = None) -> DataFrame:
+    """Answers to what was sent to ``now`` ranges (``fan(parts)`` by default), judged in ``parts`` ranges.
+
+    A row with a part below zero is no question; it's handed on.  Its block must be the only one of that name.
+    """
+    now = now or fan(parts)
+    if now >= parts:
+        return _judged(sent, questions)
+    sent = cut_lineage(sent)
+    finer = min(FAN, -(-parts // now))
+    groups = max(1, parts // now // 2)
+    unite, deal = questions.unite, questions.deal
+
+    def gather(table: pa.Table) -> pa.Table:
+        name = f"{table.column('part')[0].as_py()}:{table.column('of')[0].as_py()}"
+        return pa.table({"block": [name], "body": pa.array([to_ipc(table.select(["block", "body"]))], pa.binary())})
+
+    def ask(_: str, table: pa.Table, __: dict) -> Iterator[tuple[int, bytes]]:
+        h, _, body = unite(table.column("body").to_pylist())
+        at = part_of(h, now * finer)
+        new = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]])) if len(at) else at
+        for a, b in zip(new.tolist(), [*new[1:].tolist(), len(at)], strict=False):
+            yield int(at[a]), body(a, b)
+
+    def back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                name, table, got = _block_row(batch, i, ("got",))
+                _, each, _ = unite(table.column("body").to_pylist())
+                made = list(deal([b for _, b in got["got"]], each))
+                yield pa.RecordBatch.from_pydict({"block": table.column("block").combine_chunks(), "part": pa.array([int(name.split(":")[0])] * len(made), pa.int32()), "body": pa.array(made, pa.binary())})
+                release()
+
+    asked = sent.filter("part >= 0").withColumn("of", F.pmod(F.xxhash64("block"), F.lit(groups)).cast("int"))
+    gathered = cut_lineage(asked.groupBy("part", "of").applyInArrow(gather, BLOCK_SCHEMA))
+    inner = cut_lineage(answered(emitted(gathered, ask), questions, parts, now * finer))
+    answers = with_answers(gathered, got=inner.filter("block <> ''")).mapInArrow(back, ANSWER_SCHEMA)
+    # The block "" is no asker: what a part says to all goes straight up.
+    return answers.union(inner.filter("block = ''")).union(sent.filter("part < 0").select("block", "part", "body"))
+
+
+def _judged(sent: DataFrame, questions: Questions) -> DataFrame:
+    reduce = questions.reduce
 
     def run(table: pa.Table) -> pa.Table:
         part = table.column("part")[0].as_py()
-        rows = list(reduce(table.column("block").to_pylist(), table.column("body").to_pylist()))
+        names, bodies = table.column("block").to_pylist(), table.column("body").to_pylist()
+        del table
+        rows = list(reduce(names, bodies)) if part >= 0 else list(zip(names, bodies, strict=True))
+        release()
         return pa.table({"block": pa.array([b for b, _ in rows], pa.string()), "part": pa.array([part] * len(rows), pa.int32()), "body": pa.array([x for _, x in rows], pa.binary())})
 
-    return sent.groupBy("part").applyInArrow(run, ANSWER_SCHEMA)
+    of = F.when(F.col("part") < 0, F.xxhash64("block")).otherwise(F.col("part").cast("long"))
+    return sent.withColumn("of", of).groupBy("of", "part").applyInArrow(lambda t: run(t.drop_columns(["of"])), ANSWER_SCHEMA)
 
 
 def with_answers(source: DataFrame, **answers: DataFrame) -> DataFrame:

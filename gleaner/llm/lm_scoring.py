@@ -1,25 +1,29 @@
 """Language-model scores from a weighted backoff automaton.
 
-The model is a bigram model with interpolated absolute discounting over a smoothed unigram base:
+The model is a trigram model with Dirichlet smoothing, each order over the next lower one:
 
-    P1(w)   = (c(w) + 0.5) / (N + 0.5 (V + 1))
-    P(w|h)  = (c(h w) - D) / c(h) + b(h) P1(w)   for bigrams h w counted at least CUTOFF times
-            = b(h) P1(w)                         otherwise
-    b(h)    = 1 - sum over the kept w of (c(h w) - D) / c(h)
+    P1(w)    = (c(w) + 0.5) / (N + 0.5 (V + 1))
+    P2(w|v)  = (c(v w) + K2 P1(w)) / (c(v) + K2)
+    P3(w|uv) = (c(u v w) + K3 P2(w|v)) / (c(u v) + K3)    if c(u v) >= HISTORY, else P2(w|v)
 
-which sums to one over all words and the unknown word for every h.  As an automaton, the root state
-has an arc for every word, weighing log P1(w), and each word h is a state with an arc, weighing
-log P(w|h), for each kept bigram and a failure arc to the root weighing log b(h).  A text is read
-once from left to right; the state after a word is that word's.  The end of a text is a token, and
-its state is where the next text starts.
+which sums to one over all words and the unknown word after any history.  As an automaton, the n-grams
+that occur in training texts are states: the root, a state for each word v and one for each pair u v that
+occurs HISTORY times or more.  A state has an arc for every word seen after it, weighing log P, that leads to the longest pair or word at
+the end of what was read; the root has an arc for every word.  A word without an arc takes the failure
+arc, weighing log (K / (c + K)), to the state of the shorter history, and so on to the root.  A text is
+read once from left to right from the state of an end, carrying the state and adding up what the arcs
+weigh (``Automaton.read``).  The end of a text is a token.
 
-The automaton grows with the corpus and is never gathered in one place.  Each block of documents
-asks for its own part of it: counts of bigrams meet by the hash of h, so that c(h), the kept arcs
-and b(h) are known where they meet, and each block gets back the weights of its own states and arcs.
+The automaton grows with the corpus and is never gathered in one place.  Each block of documents gets the
+counts of its own n-grams and builds the part of the automaton that its texts can reach.  A first
+exchange counts words and pairs, by the hash of the whole pair, so that a frequent word's pairs are spread
+over all parts; a second counts the triples whose first pair is a state and whose last pair occurs.  Items are told apart by 64-bit hashes: of 10^12 distinct n-grams some 30,000 pairs would
+be taken for one.
 
 Defined cases: A-Z are lower-cased; tokens are ``[^\\x20\\x09-\\x0D]+`` and one end; a null or empty
 text is its end alone; with no training document at all every token has the unknown word's
-probability, one; repeated rows count each; other columns are ignored.
+probability, one; repeated rows count each; very long texts are read whole (a row is one block then); an
+empty table gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -33,13 +37,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.blocks import answered, blocks, cut_lineage, cuts_of, deltas, emitted, mapped, pack, parts_for, tokens, undeltas, unpack, with_answers, word_hashes
+from gleaner.llm.blocks import Questions, answered, blocks, cut_lineage, cuts_of, deltas, emitted, fan, mapped, mix, narrow, pack, parts_for, tokens, undeltas, unpack, with_answers, word_hashes
 
-DISCOUNT, CUTOFF = 0.6, 2
+#: Strength of the next lower order, in tokens.
+K2, K3 = 30.0, 10.0
+#: Training occurrences of a pair that is a state.
+HISTORY = 2
 FOLDS, HELD_OUT = 5, 1
-#: Bits of a successor's hash within its context.
-_SUCCESSOR = np.uint64((1 << 40) - 1)
+#: Bytes of text whose part of the automaton is in memory at once.
+BLOCK_BYTES = 2 << 20
 _U = np.uint64
+_ONE = _U(1)
 #: No token holds white space, so this can't be one.
 _END = np.uint64(xxhash.xxh64_intdigest(b"\n"))
 
@@ -50,110 +58,204 @@ def fold(doc_id: int | None) -> int:
 
 
 class _Block:
-    """A block's tokens as transitions h -> w, its distinct contexts by hash, and its distinct bigrams in that order."""
+    """A block's tokens as words and pairs, the distinct ones sorted by hash; words have even hashes, pairs odd ones."""
 
     def __init__(self, table: pa.Table) -> None:
         codes, words, starts = tokens(table.column("text"), lower=True)
         self.ids = table.column("doc_id")
         self.held = np.array([fold(i) == HELD_OUT for i in self.ids.to_pylist()], bool)
-        docs, end = len(starts) - 1, len(words)
-        size = np.diff(starts) + 1
-        self.first = np.concatenate([[0], np.cumsum(size)])[:-1]
-        to = np.empty(int(size.sum()), np.int64)
-        last = self.first + size - 1
+        self.docs, end = len(starts) - 1, len(words)
+        self.size = np.diff(starts) + 1
+        self.first = np.concatenate([[0], np.cumsum(self.size)])[:-1].astype(np.int64)
+        to = np.empty(int(self.size.sum()), np.int64)
+        last = self.first + self.size - 1
         inner = np.ones(len(to), bool)
         inner[last] = False
         to[inner], to[last] = codes, end
+        hashes = np.append(word_hashes(words), _END) & ~_ONE
+        self.train = np.repeat(~self.held, self.size)
+        self.words, place = np.unique(hashes, return_inverse=True)
+        self.end, self.w = int(place[end]), place[to]
         # The state before a text's first token is that of an end.
-        source = np.concatenate([[end], to[:-1]])
-        hashes = np.append(word_hashes(words), _END)
-        order = np.argsort(hashes)
-        rank = np.empty(len(hashes), np.int64)
-        rank[order] = np.arange(len(hashes))
-        self.hashes, self.size = hashes[order], size
-        self.h, self.w = rank[source], rank[to]
-        train = np.repeat(~self.held, size)
-        self.counts = np.bincount(self.w[train], minlength=len(hashes))
-        key = np.sort((self.h * len(hashes) + self.w) * 2 + train)
-        new = np.flatnonzero(np.concatenate([[True], (key[1:] >> 1) != (key[:-1] >> 1)])) if len(key) else np.empty(0, np.int64)
-        self.arcs = key[new] >> 1
-        self.arc_counts = np.add.reduceat(key & 1, new) if len(new) else new
-        self.docs = docs
-
-    def arc_of(self) -> np.ndarray:
-        return np.searchsorted(self.arcs, self.h * len(self.hashes) + self.w)
-
-
-def _ask(parts: int) -> Callable:
+        before = np.concatenate([[end], to[:-1]])
+        self.v = place[before]
+        self.pair_of = mix(hashes[before], hashes[to]) | _ONE
+        self.pairs, self.pair = np.unique(self.pair_of, return_inverse=True)
+        self.word_counts = np.bincount(self.w[self.train], minlength=len(self.words))
+        self.pair_counts = np.bincount(self.pair[self.train], minlength=len(self.pairs))
+
+    def triples(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Positions of tokens with two before them (an end counts) in their text, their triple, the distinct triples' hashes, and their training counts."""
+        full = np.ones(len(self.w), bool)
+        full[self.first] = False
+        at = np.flatnonzero(full)
+        names, triple = np.unique(mix(self.pair_of[at - 1], self.words[self.w[at]]) | _ONE, return_inverse=True)
+        return at, triple, names, np.bincount(triple[self.train[at]], minlength=len(names))
+
+    def asked(self, counts: np.ndarray) -> tuple[np.ndarray, ...]:
+        """``triples``, with which of them can have an arc, by the counts of pairs."""
+        at, triple, names, own = self.triples()
+        asked = np.empty(len(names), bool)
+        asked[triple] = (counts[self.pair[at - 1]] >= HISTORY) & (counts[self.pair[at]] > 0)
+        return at, triple, names, own, asked
+
+
+def _sent(h: np.ndarray, counts: np.ndarray, parts: int) -> Iterator[tuple[int, bytes]]:
+    cuts = cuts_of(h, fan(parts))
+    for p in np.flatnonzero(np.diff(cuts)).tolist():
+        a, b = int(cuts[p]), int(cuts[p + 1])
+        yield p, pack(deltas(h[a:b]), narrow(counts[a:b]))
+
+
+def _ask_pairs(parts: int) -> Callable:
     def emit(_: str, table: pa.Table, __: dict) -> Iterator[tuple[int, bytes]]:
         b = _Block(table)
-        n = len(b.hashes)
-        fan = np.bincount(b.arcs // n, minlength=n)
-        ends = np.concatenate([[0], np.cumsum(fan)])
-        successor = b.hashes[b.arcs % n] & _SUCCESSOR
-        cuts = cuts_of(b.hashes, parts)
-        for p in np.flatnonzero(np.diff(cuts)).tolist():
-            x, y = int(cuts[p]), int(cuts[p + 1])
-            s = slice(int(ends[x]), int(ends[y]))
-            yield p, pack(deltas(b.hashes[x:y]), b.counts[x:y].astype(np.uint32), fan[x:y].astype(np.uint32), successor[s].astype(np.uint64), b.arc_counts[s].astype(np.uint32))
+        h = np.concatenate([b.words, b.pairs])
+        order = np.argsort(h)
+        yield from _sent(h[order], np.concatenate([b.word_counts, b.pair_counts])[order], parts)
 
     return emit
 
 
-def _weigh(blocks_: list[str], bodies: list[bytes]) -> Iterator[tuple[str, bytes]]:
-    """Counts of contexts and kept arcs.  The block "" has the part's share of N and V."""
-    got = [unpack(b, _U, np.uint32, np.uint32, _U, np.uint32) for b in bodies]
-    hashes = np.concatenate([undeltas(g[0]) for g in got])
-    contexts, at = np.unique(hashes, return_inverse=True)
-    counts = np.bincount(at, np.concatenate([g[1] for g in got]), len(contexts)).astype(np.int64)
-    fan = np.concatenate([g[2] for g in got]).astype(np.int64)
-    key = (np.repeat(at, fan).astype(_U) << _U(40)) | np.concatenate([g[3] for g in got])
-    arcs, arc_at = np.unique(key, return_inverse=True)
-    total = np.bincount(arc_at, np.concatenate([g[4] for g in got]), len(arcs)).astype(np.int64)
-    kept = np.where(total >= CUTOFF, total, 0)
-    state = (arcs >> _U(40)).astype(np.int64)
-    mass = np.bincount(state, kept, len(contexts)).astype(np.int64)
-    kinds = np.bincount(state, kept > 0, len(contexts)).astype(np.int64)
-    yield "", pack(np.array([counts.sum(), (counts > 0).sum()], np.int64))
-    end, arc_end = 0, 0
-    for block, g in zip(blocks_, got, strict=True):
-        c, a = at[end : end + len(g[0])], arc_at[arc_end : arc_end + len(g[3])]
-        end, arc_end = end + len(g[0]), arc_end + len(g[3])
-        yield block, pack(counts[c].astype(_U), mass[c].astype(_U), kinds[c].astype(np.uint32), kept[a].astype(np.uint32))
+def _pair_counts(b: _Block, got: list[tuple[int, bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of the block's words and of its pairs over all training texts."""
+    counts = np.concatenate([unpack(x, None)[0] for _, x in got] or [np.empty(0, np.uint8)]).astype(np.int64)
+    if len(counts) != len(b.words) + len(b.pairs):
+        raise RuntimeError("answers don't fit the block")
+    order = np.argsort(np.concatenate([b.words, b.pairs]))
+    out = np.empty(len(counts), np.int64)
+    out[order] = counts
+    return out[: len(b.words)], out[len(b.words) :]
+
+
+def _ask_triples(parts: int) -> Callable:
+    def emit(_: str, table: pa.Table, got: dict) -> Iterator[tuple[int, bytes]]:
+        b = _Block(table)
+        _, _, names, own, asked = b.asked(_pair_counts(b, got["pairs"])[1])
+        yield from _sent(names[asked], own[asked], parts)
+
+    return emit
+
+
+def _united(bodies: list[bytes]) -> tuple[np.ndarray, list[np.ndarray], Callable[[int, int], bytes]]:
+    h, each, total = _summed(bodies)
+    return h, each, lambda a, b: pack(deltas(h[a:b]), narrow(total[a:b]))
+
+
+def _summed(bodies: list[bytes]) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    got = [unpack(b, _U, None) for b in bodies]
+    h, at = np.unique(np.concatenate([undeltas(d) for d, _ in got]), return_inverse=True)
+    total = np.bincount(at, np.concatenate([n for _, n in got]), len(h)).astype(np.int64)
+    return h, np.split(at, np.cumsum([len(d) for d, _ in got])[:-1]), total
+
+
+def _counted(blocks_: list[str], bodies: list[bytes]) -> Iterator[tuple[str, bytes]]:
+    """The sum of all blocks' counts of each item.  The block "" has the part's share of N and V."""
+    h, each, total = _summed(bodies)
+    words = total[(h & _ONE) == 0]
+    if len(words):
+        yield "", pack(np.array([words.sum(), (words > 0).sum()], np.int64))
+    for block, at in zip(blocks_, each, strict=True):
+        yield block, pack(narrow(total[at]))
+
+
+def _dealt(bodies: list[bytes], each: list[np.ndarray]) -> Iterator[bytes]:
+    counts = np.concatenate([unpack(b, None)[0].astype(np.int64) for b in bodies])
+    for at in each:
+        yield pack(narrow(counts[at]))
+
+
+_COUNTS = Questions(_counted, _united, _dealt)
+
+
+class Automaton:
+    """States 0 (the root), then words, then pairs; of each arc its weight and where it leads, of each state the same for its failure arc."""
+
+    def __init__(self, words: int) -> None:
+        self.words, self.weight, self.to = words, [], []
+        self.arcs: dict[int, int] = {}
+        self.fail, self.fail_weight = [0], [0.0]
+
+    def add_states(self, fail: np.ndarray, weight: np.ndarray) -> None:
+        self.fail += fail.tolist()
+        self.fail_weight += weight.tolist()
+
+    def add_arcs(self, state: np.ndarray, word: np.ndarray, weight: np.ndarray, to: np.ndarray) -> None:
+        self.arcs.update(zip((state * self.words + word).tolist(), range(len(self.weight), len(self.weight) + len(weight)), strict=True))
+        self.weight += weight.tolist()
+        self.to += to.tolist()
+
+    def read(self, text: list[int], state: int) -> float:
+        """The log-probability of a text's words, read from ``state``."""
+        total, arcs, words = 0.0, self.arcs.get, self.words
+        weight, to, fail, fail_weight = self.weight, self.to, self.fail, self.fail_weight
+        for w in text:
+            arc = arcs(state * words + w)
+            while arc is None:
+                total += fail_weight[state]
+                state = fail[state]
+                arc = arcs(state * words + w)
+            total += weight[arc]
+            state = to[arc]
+        return total
+
+
+def _automaton(b: _Block, one: np.ndarray, two: np.ndarray, got: list[tuple[int, bytes]], total: int, distinct: int) -> tuple[Automaton, np.ndarray]:
+    """The part of the automaton that the block's texts can reach, and the log-probability of each word at the root."""
+    at, triple, names, _, asked = b.asked(two)
+    answers = np.concatenate([unpack(x, None)[0] for _, x in got] or [np.empty(0, np.uint8)]).astype(np.int64)
+    if len(answers) != int(asked.sum()):
+        raise RuntimeError("answers don't fit the block")
+    three = np.zeros(len(names), np.int64)
+    three[asked] = answers
+    n = len(b.words)
+    a = Automaton(n)
+    root = (one + 0.5) / (total + 0.5 * (distinct + 1))
+    # A word's state, or the root where it never occurs; a pair's, or its last word's.  A text ends with an end.
+    word_state = np.where(one > 0, 1 + np.arange(n), 0)
+    pair_v, pair_w = np.empty(len(two), np.int64), np.empty(len(two), np.int64)
+    pair_v[b.pair], pair_w[b.pair] = b.v, b.w
+    pair_state = np.where(two >= HISTORY, 1 + n + np.arange(len(two)), word_state[pair_w])
+    a.add_states(np.zeros(n, np.int64), np.log10(K2 / (one + K2)))
+    a.add_states(word_state[pair_w], np.log10(K3 / (two + K3)))
+    a.add_arcs(np.zeros(n, np.int64), np.arange(n), np.log10(root), word_state)
+    p2 = (two + K2 * root[pair_w]) / (one[pair_v] + K2)
+    s = np.flatnonzero(two > 0)
+    a.add_arcs(1 + pair_v[s], pair_w[s], np.log10(p2[s]), pair_state[s])
+    first, last = np.empty(len(names), np.int64), np.empty(len(names), np.int64)
+    first[triple], last[triple] = b.pair[at - 1], b.pair[at]
+    s = np.flatnonzero(three > 0)
+    p3 = (three[s] + K3 * p2[last[s]]) / (two[first[s]] + K3)
+    a.add_arcs(1 + n + first[s], pair_w[last[s]], np.log10(p3), pair_state[last[s]])
+    return a, np.log10(root)
 
 
 def score_documents(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document; logarithms to base 10."""
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
-    parts, rows = parts_for(docs), blocks(rows)
-    answers = cut_lineage(answered(emitted(rows, _ask(parts)), _weigh))
+    parts, rows = parts_for(docs), blocks(rows, block_bytes=BLOCK_BYTES)
+    pairs = cut_lineage(answered(emitted(rows, _ask_pairs(parts)), _COUNTS, parts))
     # N and V: a pair of numbers from each part, summed as rows.
-    sums = answers.filter("block = ''").mapInArrow(_totals, "n long, v long").agg(F.sum("n"), F.sum("v")).first()
+    sums = pairs.filter("block = ''").mapInArrow(_totals, "n long, v long").agg(F.sum("n"), F.sum("v")).first()
     total, distinct = (int(x or 0) for x in sums)
+    pairs = pairs.filter("block <> ''")
+    triples = answered(emitted(with_answers(rows, pairs=pairs), _ask_triples(parts), ("pairs",)), _COUNTS, parts).filter("block <> ''")
 
     def work(table: pa.Table, got: dict) -> pa.Table:
         b = _Block(table)
-        parts_ = [unpack(x, _U, _U, np.uint32, np.uint32) for _, x in got["weights"]]
-        count, mass, kinds, kept = (np.concatenate([p[i] for p in parts_]).astype(np.float64) for i in range(4))
-        if len(count) != len(b.hashes) or len(kept) != len(b.arcs):
-            raise RuntimeError("answers don't fit the block")
-        # The automaton: root arcs, failure arcs, and the arcs of states.
-        root = (count + 0.5) / (total + 0.5 * (distinct + 1))
-        seen = np.maximum(count, 1)
-        back = np.where(count > 0, 1 - (mass - DISCOUNT * kinds) / seen, 1.0)
-        h, w = b.arcs // len(b.hashes), b.arcs % len(b.hashes)
-        arc = np.log10(np.where(kept > 0, (kept - DISCOUNT) / seen[h], 0) + back[h] * root[w])
-        failed = np.log10(back)[h] + np.log10(root)[w]
-        weight = np.where(kept > 0, arc, failed)[b.arc_of()]
-        base = np.log10(root)[b.w]
+        one, two = _pair_counts(b, got["pairs"])
+        automaton, root = _automaton(b, one, two, got["triples"], total, distinct)
+        start = 1 + b.end if len(b.words) and one[b.end] > 0 else 0
+        text, cut = b.w.tolist(), [*b.first.tolist(), len(b.w)]
+        scores = [automaton.read(text[i:j], start) for i, j in zip(cut, cut[1:], strict=False)]
         by_doc = lambda x: np.add.reduceat(x, b.first) if b.docs else np.empty(0)
         return pa.table({
-            "doc_id": b.ids, "held_out": pa.array(b.held), "n_tokens": pa.array(b.size, pa.int64()), "n_known": pa.array(by_doc((count[b.w] > 0).astype(np.int64)), pa.int64()),
-            "train_tokens": pa.array(np.full(b.docs, total), pa.int64()), "base_score": by_doc(base), "score": by_doc(weight),
+            "doc_id": b.ids, "held_out": pa.array(b.held), "n_tokens": pa.array(b.size, pa.int64()), "n_known": pa.array(by_doc((one[b.w] > 0).astype(np.int64)), pa.int64()),
+            "train_tokens": pa.array(np.full(b.docs, total), pa.int64()), "base_score": by_doc(root[b.w]), "score": pa.array(scores, pa.float64()),
         })
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return mapped(with_answers(rows, weights=answers.filter("block <> ''")), work, schema, ("weights",))
+    return mapped(with_answers(rows, pairs=pairs, triples=triples), work, schema, ("pairs", "triples"))
 
 
 def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

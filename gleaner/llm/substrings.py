@@ -21,14 +21,14 @@ removed whole; other columns are carried along untouched.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from gleaner.llm.blocks import answered, blocks, cut_lineage, cuts_of, deltas, emitted, mapped, mix, pack, parts_for, tokens, undeltas, unpack, window_hashes, with_answers, word_hashes
+from gleaner.llm.blocks import Questions, answered, blocks, cut_lineage, cuts_of, deltas, emitted, fan, mapped, mix, pack, parts_for, tokens, undeltas, unpack, window_hashes, with_answers, word_hashes
 
 WINDOW = 35
 #: Pair rounds, and the words that a symbol may stand for at most.
@@ -99,7 +99,7 @@ def _ask_symbols(parts: int):
         *_, doc, h, _h2 = _words(table)
         name, _, _ = _symbols(h, doc)
         names, counts = np.unique(name, return_counts=True)
-        cuts = cuts_of(names, parts)
+        cuts = cuts_of(names, fan(parts))
         for p in np.flatnonzero(np.diff(cuts)).tolist():
             a, b = cuts[p], cuts[p + 1]
             yield p, pack(deltas(names[a:b]), np.packbits(counts[a:b] > 1))
@@ -117,6 +117,21 @@ def _shared_symbols(blocks_: list[str], bodies: list[bytes]) -> Iterator[tuple[s
         yield block, pack(np.packbits(np.isin(n, shared, assume_unique=True)), np.array([len(n)], np.uint32))
 
 
+def _united_symbols(bodies: list[bytes]) -> tuple[np.ndarray, list[np.ndarray], Callable[[int, int], bytes]]:
+    got = [unpack(b, _U, np.uint8) for b in bodies]
+    names = [undeltas(d) for d, _ in got]
+    every, at = np.unique(np.concatenate(names), return_inverse=True)
+    twice = np.concatenate([np.unpackbits(bits, count=len(n)) for n, (_, bits) in zip(names, got, strict=True)])
+    shared = (np.bincount(at) > 1) | (np.bincount(at, twice) > 0)
+    return every, np.split(at, np.cumsum([len(n) for n in names])[:-1]), lambda a, b: pack(deltas(every[a:b]), np.packbits(shared[a:b]))
+
+
+def _dealt(bodies: list[bytes], each: list[np.ndarray]) -> Iterator[bytes]:
+    flags = np.concatenate([np.unpackbits(x, count=int(n[0])) for x, n in (unpack(b, np.uint8, np.uint32) for b in bodies)])
+    for at in each:
+        yield pack(np.packbits(flags[at]), np.array([len(at)], np.uint32))
+
+
 def _candidates(starts: np.ndarray, doc: np.ndarray, h: np.ndarray, shared: list[tuple[int, bytes]]) -> np.ndarray:
     """Starts of the windows that no unique symbol rules out."""
     name, low, high = _symbols(h, doc)
@@ -146,7 +161,7 @@ def _ask_windows(parts: int):
         new = np.flatnonzero(np.concatenate([[True], (one[1:] != one[:-1]) | (two[1:] != two[:-1])]))
         twice = np.diff(np.append(new, len(one))) > 1
         one, two = one[new], two[new]
-        cuts = cuts_of(one, parts)
+        cuts = cuts_of(one, fan(parts))
         for p in np.flatnonzero(np.diff(cuts)).tolist():
             a, b = cuts[p], cuts[p + 1]
             yield p, pack(deltas(one[a:b]), two[a:b], np.packbits(twice[a:b]))
@@ -168,6 +183,19 @@ def _shared_windows(blocks_: list[str], bodies: list[bytes]) -> Iterator[tuple[s
         yield block, pack(np.packbits(shared[a:b]), np.array([b - a], np.uint32))
 
 
+def _united_windows(bodies: list[bytes]) -> tuple[np.ndarray, list[np.ndarray], Callable[[int, int], bytes]]:
+    got = [unpack(b, _U, _U, np.uint8) for b in bodies]
+    one, two = np.concatenate([undeltas(d) for d, _, _ in got]), np.concatenate([t for _, t, _ in got])
+    twice = np.concatenate([np.unpackbits(bits, count=len(t)) for _, t, bits in got])
+    order = np.lexsort((two, one))
+    new = np.concatenate([[True], (np.diff(one[order]) != 0) | (np.diff(two[order]) != 0)])
+    at = np.empty(len(one), np.int64)
+    at[order] = np.cumsum(new) - 1
+    shared = (np.bincount(at) > 1) | (np.bincount(at, twice) > 0)
+    one, two = one[order][new], two[order][new]
+    return one, np.split(at, np.cumsum([len(t) for _, t, _ in got])[:-1]), lambda a, b: pack(deltas(one[a:b]), two[a:b], np.packbits(shared[a:b]))
+
+
 def _removed(table: pa.Table, got: dict) -> tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray]:
     """Codes, words, starts, and which words go."""
     codes, words, starts, doc, h, h2 = _words(table)
@@ -192,8 +220,8 @@ def _removed(table: pa.Table, got: dict) -> tuple[np.ndarray, pa.Array, np.ndarr
 def _answered_blocks(docs: DataFrame) -> DataFrame:
     parts = parts_for(docs)
     rows = blocks(docs)
-    symbols = cut_lineage(answered(emitted(rows, _ask_symbols(parts)), _shared_symbols))
-    windows = answered(emitted(with_answers(rows, symbols=symbols), _ask_windows(parts), ("symbols",)), _shared_windows)
+    symbols = cut_lineage(answered(emitted(rows, _ask_symbols(parts)), Questions(_shared_symbols, _united_symbols, _dealt), parts))
+    windows = answered(emitted(with_answers(rows, symbols=symbols), _ask_windows(parts), ("symbols",)), Questions(_shared_windows, _united_windows, _dealt), parts)
     return with_answers(rows, symbols=symbols, windows=windows)
 
 

@@ -2,9 +2,11 @@
 
 A byte-level BPE splits a text into pre-tokens and encodes each alone, so a text's token count is the
 sum over its pre-tokens of the pre-token's own count.  Every block of documents sends each distinct
-pre-token once, with the documents that hold it and how often.  Where all blocks' copies of a
-pre-token meet, it is encoded once, its count is joined to the per-document frequencies, and only
-sums by document go back.  No ids are kept and no text is shuffled.
+pre-token once, by hash range.  Where all blocks' copies of a pre-token meet, it is encoded once, and
+its count goes back to the blocks that asked; there it is joined to the per-document frequencies, which
+travel by block.  No ids are kept and no text is shuffled, and a pre-token that every document holds
+weighs one entry for each block.  A block's messages keep to a fixed number however large
+the input; beyond it they are routed in steps (``blocks.answered``).
 
 Defined cases: a null text is empty and has no tokens; ``<|endoftext|>``-like added tokens inside a
 text count as one token each, as is the library's default; repeated rows are counted each; other
@@ -19,17 +21,17 @@ import re
 import sys
 import unicodedata
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from gleaner.llm.blocks import BLOCK_BYTES, pack, parts_for, unpack
+from gleaner.llm.blocks import BLOCK_BYTES, Questions, answered, cuts_of, fan, pack, parts_for, release, unpack
 from gleaner.session import ship
 
 #: Pre-tokens beyond this length go to the library through their own call.
@@ -115,7 +117,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 512) -> DataFrame:
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Part -1 has a block's documents; the others have its pre-tokens, by hash."""
+        """Part -1 has a block's documents and their frequencies; the others have its pre-tokens, by hash."""
         pid, seq = TaskContext.get().partitionId(), 0
         for batch in batches:
             sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
@@ -125,6 +127,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 512) -> DataFrame:
                 part = batch.slice(begin, end - begin)
                 yield _sent(f"{pid}-{seq}", part.column(0), part.column(1).to_pylist(), sizes[begin:end])
                 seq, begin = seq + 1, end
+                release()
 
     def _sent(block: str, ids: pa.Array, texts: list[str | None], sizes: np.ndarray) -> pa.RecordBatch:
         codes: dict[str, int] = {}
@@ -134,72 +137,75 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 512) -> DataFrame:
             which.append(np.fromiter((known(w, len(codes)) for w in counts), np.int64, len(counts)))
             often.append(np.fromiter(counts.values(), np.int64, len(counts)))
             specials.append(special)
-        doc = np.repeat(np.arange(len(texts)), [len(w) for w in which])
-        word, freq = np.concatenate(which or [np.empty(0, np.int64)]), np.concatenate(often or [np.empty(0, np.int64)])
-        names = list(codes)
-        part = np.fromiter((part_of_word(w, parts) for w in names), np.int64, len(names))
-        rank = np.empty(len(names), np.int64)
-        by_part = np.argsort(part, kind="stable")
-        rank[by_part] = np.arange(len(names))
-        order = np.argsort(rank[word] * len(texts) + doc, kind="stable")
-        word, doc, freq = rank[word][order], doc[order], freq[order]
+        raw = [w.encode() for w in codes]
+        h = np.fromiter((xxhash.xxh64_intdigest(w) for w in raw), np.uint64, len(raw))
+        order = np.argsort(h, kind="stable")
+        rank = np.empty(len(raw), np.int64)
+        rank[order] = np.arange(len(raw))
+        cuts = cuts_of(h[order], fan(parts))
         rows = []
-        cuts = np.searchsorted(part[by_part], np.arange(parts + 1))
-        for p in np.unique(part).tolist():
-            lo, hi = int(cuts[p]), int(cuts[p + 1])
-            a, b = np.searchsorted(word, [lo, hi])
-            first = np.searchsorted(word[a:b], np.arange(lo, hi + 1))
-            raw = [names[i].encode() for i in by_part[lo:hi]]
-            gaps = np.diff(doc[a:b], prepend=0)
-            gaps[first[:-1]] = doc[a:b][first[:-1]]
-            rows.append((p, pack(np.frombuffer(b"".join(raw), np.uint8), np.array([len(x) for x in raw], np.uint32), np.diff(first).astype(np.uint32), gaps.astype(np.uint32), freq[a:b].astype(np.uint32), np.array([len(texts)], np.uint32))))
-        head = pack(ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), ids.is_null().to_numpy(zero_copy_only=False).astype(np.uint8), np.array(sizes, np.int64), np.array(specials, np.int64))
+        for p in np.flatnonzero(np.diff(cuts)).tolist():
+            own = [raw[i] for i in order[cuts[p] : cuts[p + 1]].tolist()]
+            rows.append((p, pack(np.frombuffer(b"".join(own), np.uint8), np.array([len(x) for x in own], np.uint32))))
+        # A document's pre-tokens in rising order, as steps, which are small numbers.
+        held = [np.argsort(rank[w]) for w in which]
+        steps = [np.diff(rank[w][o], prepend=0) for w, o in zip(which, held, strict=True)]
+        freq = [f[o] for f, o in zip(often, held, strict=True)]
+        flat = lambda x: np.concatenate(x or [np.empty(0, np.int64)]).astype(np.uint32)
+        head = pack(ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), ids.is_null().to_numpy(zero_copy_only=False).astype(np.uint8), np.array(sizes, np.int64), np.array(specials, np.int64), np.array([len(w) for w in which], np.uint32), flat(steps), flat(freq))
         return pa.RecordBatch.from_pydict({"part": pa.array([p for p, _ in rows] + [-1], pa.int32()), "block": [block] * (len(rows) + 1), "body": pa.array([b for _, b in rows] + [head], pa.binary())})
 
-    def sums(table: pa.Table) -> pa.Table:
-        """A sum by document for every block; heads pass as they are."""
-        blocks, bodies, kinds = [], [], []
-        if table.column("part")[0].as_py() < 0:
-            return pa.table({"block": table.column("block"), "head": pa.array([True] * table.num_rows), "body": table.column("body")})
-        for block, made in zip(table.column("block").to_pylist(), _joined(table.column("body")), strict=True):
-            blocks.append(block)
-            bodies.append(made)
-            kinds.append(False)
-        return pa.table({"block": pa.array(blocks, pa.string()), "head": pa.array(kinds, pa.bool_()), "body": pa.array(bodies, pa.binary())})
-
-    def _joined(bodies: pa.ChunkedArray) -> Iterator[bytes]:
-        got = [unpack(b.as_py(), *[np.uint8] + [np.uint32] * 5) for b in bodies]
-        codes: dict[str, int] = {}
+    def reduce(blocks_: list[str], bodies: list[bytes]) -> Iterator[tuple[str, bytes]]:
+        """The number of pieces of every pre-token, in the order of each question."""
+        codes: dict[bytes, int] = {}
         each = []
-        for raw, lengths, *_ in got:
+        for body in bodies:
+            raw, lengths = unpack(body, np.uint8, np.uint32)
             ends, data = np.cumsum(lengths).tolist(), raw.tobytes()
-            each.append(np.array([codes.setdefault(data[a:b].decode(), len(codes)) for a, b in zip([0, *ends], ends, strict=False)], np.int64))
-        pieces = piece_counts(list(codes), path)
-        for words, (_, _, holders, gaps, freq, n_docs) in zip(each, got, strict=True):
-            doc = np.cumsum(gaps, dtype=np.int64)
-            first = np.concatenate([[0], np.cumsum(holders)[:-1]]).astype(np.int64)
-            doc -= np.repeat(doc[first] - gaps[first], holders)
-            yield pack(np.bincount(doc, np.repeat(pieces[words], holders) * freq.astype(np.float64), int(n_docs[0])).astype(np.int64))
+            each.append(np.array([codes.setdefault(data[a:b], len(codes)) for a, b in zip([0, *ends], ends, strict=False)], np.int64))
+        counted = piece_counts([w.decode() for w in codes], path)
+        for block, words in zip(blocks_, each, strict=True):
+            yield block, pack(counted[words].astype(np.uint32))
 
     def total(table: pa.Table) -> pa.Table:
-        head, tokens = None, 0
-        for is_head, body in zip(table.column("head").to_pylist(), table.column("body").to_pylist(), strict=True):
-            if is_head:
-                head = unpack(body, np.int64, np.uint8, np.int64, np.int64)
-            else:
-                tokens = tokens + unpack(body, np.int64)[0]
-        ids, null, sizes, specials = head
-        tokens = tokens + specials
+        """Counts joined to frequencies and summed by document."""
+        rows = sorted(zip(table.column("part").to_pylist(), table.column("body").to_pylist(), strict=True), key=lambda x: x[0])
+        if rows[0][0] >= 0:
+            raise RuntimeError("a block is gone: the documents aren't a deterministic plan; write them as a table first")
+        ids, null, sizes, specials, n, steps, freq = unpack(rows[0][1], np.int64, np.uint8, np.int64, np.int64, np.uint32, np.uint32, np.uint32)
+        counts = np.concatenate([unpack(b, np.uint32)[0] for _, b in rows[1:]] or [np.empty(0, np.uint32)]).astype(np.int64)
+        doc, sums = np.repeat(np.arange(len(n)), n), np.cumsum(steps, dtype=np.int64)
+        begin = np.concatenate([[0], np.cumsum(n)[:-1]]).astype(np.int64)
+        before = np.concatenate([[0], sums])[begin]
+        tokens = np.bincount(doc, counts[sums - before[doc]] * freq, len(n)).astype(np.int64) + specials
         return pa.table({"doc_id": pa.array(ids, pa.int64(), mask=null.astype(bool)), "n_bytes": sizes, "n_tokens": tokens, "over_limit": tokens > limit})
 
     sent = rows.mapInArrow(frequencies, "part int, block string, body binary")
-    # Heads need no meeting, so they are spread; a part's rows must meet.
-    spread = sent.withColumn("of", F.when(F.col("part") < 0, F.concat(F.lit("h"), F.col("block"))).otherwise(F.col("part").cast("string")))
-    back = spread.groupBy("of").applyInArrow(lambda t: sums(t.drop(["of"])), "block string, head boolean, body binary")
-    return back.groupBy("block").applyInArrow(total, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
-
-
-def part_of_word(word: str, parts: int) -> int:
-    import xxhash
-
-    return xxhash.xxh64_intdigest(word.encode()) % parts
+    return answered(sent, Questions(reduce, _united, _dealt), parts).groupBy("block").applyInArrow(total, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+
+
+def _united(bodies: list[bytes]) -> tuple[np.ndarray, list[np.ndarray], Callable[[int, int], bytes]]:
+    """Each distinct pre-token of several questions, by hash."""
+    codes: dict[bytes, int] = {}
+    each = []
+    for body in bodies:
+        raw, lengths = unpack(body, np.uint8, np.uint32)
+        ends, data = np.cumsum(lengths).tolist(), raw.tobytes()
+        each.append(np.array([codes.setdefault(data[a:b], len(codes)) for a, b in zip([0, *ends], ends, strict=False)], np.int64))
+    words = list(codes)
+    h = np.fromiter((xxhash.xxh64_intdigest(w) for w in words), np.uint64, len(words))
+    order = np.argsort(h, kind="stable")
+    rank = np.empty(len(words), np.int64)
+    rank[order] = np.arange(len(words))
+
+    def body(a: int, b: int) -> bytes:
+        own = [words[i] for i in order[a:b].tolist()]
+        return pack(np.frombuffer(b"".join(own), np.uint8), np.array([len(x) for x in own], np.uint32))
+
+    return h[order], [rank[e] for e in each], body
+
+
+def _dealt(bodies: list[bytes], each: list[np.ndarray]) -> Iterator[bytes]:
+    counts = np.concatenate([unpack(b, np.uint32)[0] for b in bodies])
+    for at in each:
+        yield pack(counts[at])

@@ -68,29 +68,29 @@ def test_components(spark):
 # ---------------------------------------------------------------- op1
 
 
-def brute_scores(rows, discount=lm_scoring.DISCOUNT):
+def brute_scores(rows, k2=lm_scoring.K2, k3=lm_scoring.K3):
     train = lambda i: zlib.crc32(b"" if i is None else str(i).encode()) % 5 != 1
     texts = [(i, words_of((t or "").translate({c: c + 32 for c in range(65, 91)}))) for i, t, *_ in rows]
-    one, two = Counter(), Counter()
+    one, two, three = Counter(), Counter(), Counter()
     for i, w in texts:
         if train(i):
             q = [b"\n", *w, b"\n"]
             one.update(q[1:])
             two.update(zip(q, q[1:], strict=False))
-    n, v, mass, kinds = sum(one.values()), len(one), Counter(), Counter()
-    for (h, _), c in two.items():
-        if c >= 2:
-            mass[h] += c
-            kinds[h] += 1
+            three.update(zip(q, q[1:], q[2:], strict=False))
+    n, v = sum(one.values()), len(one)
     p1 = lambda w: (one[w] + 0.5) / (n + 0.5 * (v + 1))
-    p2 = lambda h, w: (max(0, two[h, w] - discount) / one[h] if two[h, w] >= 2 else 0) + (1 - (mass[h] - discount * kinds[h]) / one[h] if one[h] else 1) * p1(w)
+    p2 = lambda h, w: (two[h, w] + k2 * p1(w)) / (one[h] + k2)
+    p3 = lambda g, h, w: (three[g, h, w] + k3 * p2(h, w)) / (two[g, h] + k3) if two[g, h] >= lm_scoring.HISTORY else p2(h, w)
     out = []
     for i, w in texts:
         q = [b"\n", *w, b"\n"]
-        out.append((i, not train(i), len(w) + 1, sum(one[x] > 0 for x in q[1:]), n, round(sum(math.log10(p1(x)) for x in q[1:]), 6), round(sum(math.log10(p2(h, x)) for h, x in zip(q, q[1:], strict=False)), 6)))
+        score = math.log10(p2(q[0], q[1])) + sum(math.log10(p3(*x)) for x in zip(q, q[1:], q[2:], strict=False))
+        out.append((i, not train(i), len(w) + 1, sum(one[x] > 0 for x in q[1:]), n, round(sum(math.log10(p1(x)) for x in q[1:]), 6), round(score, 6)))
     # The model is a distribution: over all words and the unknown word it sums to one.
-    for h in list(one)[:5]:
-        assert abs(sum(p2(h, w) for w in one) + (1 - (mass[h] - discount * kinds[h]) / one[h]) * p1(b"unknown word") - 1) < 1e-9
+    for g, h in [x for x in two if two[x] >= 2][:5] + list(two)[:2]:
+        if h != b"\n":
+            assert abs(sum(p3(g, h, w) for w in one) + p3(g, h, b"unknown word") - 1) < 1e-9
     return sorted(map(repr, out))
 
 
@@ -100,6 +100,19 @@ def test_lm_scores(rows, docs, empty):
     assert lm_scoring.score_documents(empty).count() == 0
 
 
+def test_steps_of_the_exchange_change_nothing(docs, monkeypatch):
+    """Many more parts than messages of a block, so that answers take several steps."""
+
+    def results():
+        return [sorted(map(repr, f.collect())) for f in (lm_scoring.score_documents(docs), substrings.digests(docs), token_counts.count_tokens(docs, BYTE_BPE))]
+
+    want = results()
+    monkeypatch.setattr(blocks, "FAN", 4)
+    for module in (lm_scoring, substrings, token_counts):
+        monkeypatch.setattr(module, "parts_for", lambda df: 33)
+    assert results() == want
+
+
 def test_lm_beats_its_base_on_held_out_documents(spark, data):
     r = lm_scoring.score_documents(spark.read.parquet(f"{data}/documents.parquet")).filter("held_out").agg(F.sum("score"), F.sum("base_score")).first()
     assert r[0] > r[1]
