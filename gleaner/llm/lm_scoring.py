@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from gleaner.llm.blocks import Questions, answered, blocks, cut_lineage, cuts_of, deltas, emitted, fan, mapped, mix, narrow, pack, parts_for, tokens, undeltas, unpack, with_answers, word_hashes
 
 #: Strength of the next lower order, in tokens.
-K2, K3 = 30.0, 10.0
+K2, K3 = 500.0, 10.0
 #: Training occurrences of a pair that is a state.
 HISTORY = 2
 FOLDS, HELD_OUT = 5, 1
@@ -200,7 +200,7 @@ class Automaton:
         return total
 
 
-def _automaton(b: _Block, one: np.ndarray, two: np.ndarray, got: list[tuple[int, bytes]], total: int, distinct: int) -> tuple[Automaton, np.ndarray]:
+def _automaton(b: _Block, one: np.ndarray, two: np.ndarray, got: list[tuple[int, bytes]], total: int, distinct: int, k2: float, k3: float) -> tuple[Automaton, np.ndarray]:
     """The part of the automaton that the block's texts can reach, and the log-probability of each word at the root."""
     at, triple, names, _, asked = b.asked(two)
     answers = np.concatenate([unpack(x, None)[0] for _, x in got] or [np.empty(0, np.uint8)]).astype(np.int64)
@@ -216,21 +216,21 @@ def _automaton(b: _Block, one: np.ndarray, two: np.ndarray, got: list[tuple[int,
     pair_v, pair_w = np.empty(len(two), np.int64), np.empty(len(two), np.int64)
     pair_v[b.pair], pair_w[b.pair] = b.v, b.w
     pair_state = np.where(two >= HISTORY, 1 + n + np.arange(len(two)), word_state[pair_w])
-    a.add_states(np.zeros(n, np.int64), np.log10(K2 / (one + K2)))
-    a.add_states(word_state[pair_w], np.log10(K3 / (two + K3)))
+    a.add_states(np.zeros(n, np.int64), np.log10(k2 / (one + k2)))
+    a.add_states(word_state[pair_w], np.log10(k3 / (two + k3)))
     a.add_arcs(np.zeros(n, np.int64), np.arange(n), np.log10(root), word_state)
-    p2 = (two + K2 * root[pair_w]) / (one[pair_v] + K2)
+    p2 = (two + k2 * root[pair_w]) / (one[pair_v] + k2)
     s = np.flatnonzero(two > 0)
     a.add_arcs(1 + pair_v[s], pair_w[s], np.log10(p2[s]), pair_state[s])
     first, last = np.empty(len(names), np.int64), np.empty(len(names), np.int64)
     first[triple], last[triple] = b.pair[at - 1], b.pair[at]
     s = np.flatnonzero(three > 0)
-    p3 = (three[s] + K3 * p2[last[s]]) / (two[first[s]] + K3)
+    p3 = (three[s] + k3 * p2[last[s]]) / (two[first[s]] + k3)
     a.add_arcs(1 + n + first[s], pair_w[last[s]], np.log10(p3), pair_state[last[s]])
     return a, np.log10(root)
 
 
-def score_documents(docs: DataFrame) -> DataFrame:
+def score_documents(docs: DataFrame, k2: float = K2, k3: float = K3) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document; logarithms to base 10."""
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
     parts, rows = parts_for(docs), blocks(rows, block_bytes=BLOCK_BYTES)
@@ -244,7 +244,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
     def work(table: pa.Table, got: dict) -> pa.Table:
         b = _Block(table)
         one, two = _pair_counts(b, got["pairs"])
-        automaton, root = _automaton(b, one, two, got["triples"], total, distinct)
+        automaton, root = _automaton(b, one, two, got["triples"], total, distinct, k2, k3)
         start = 1 + b.end if len(b.words) and one[b.end] > 0 else 0
         text, cut = b.w.tolist(), [*b.first.tolist(), len(b.w)]
         scores = [automaton.read(text[i:j], start) for i, j in zip(cut, cut[1:], strict=False)]
