@@ -15,19 +15,22 @@ unit (joined or as the next word) a quantity, a capitalised word a name; names i
 sentence are one.  A capitalised word that opens a sentence may be a name or not, so there are two
 templates: in one it's a word, in the other a name.
 
-The benchmark is the query set: it is taken in blocks of at most ``BLOCK_BYTES`` of text, so what is
-sent to executors is bounded, and every document meets every block.
+Nothing of the benchmark goes through the driver.  Its window hashes are a table, and a table of bits of
+``BITS`` bits, whatever its size, tells most windows of a document that they aren't in it.  The windows
+that pass are hash-joined to the benchmark's; pairs of a document and an item with so few windows in common
+that they can't cover enough are dropped, and the others meet with both texts to be verified.
 
 Defined cases: null and empty texts on either side match nothing; an item of fewer than ``WINDOW``
-words has one window, itself, and needs at least ``LEAST`` words; several items in one document give
-one row each; repeated rows repeat; an empty benchmark matches nothing.
+template words (but at least ``least``, one by default) has one window, itself, and counts only verbatim;
+several items in one document give one row each; of several ways to line up a document and an item the one
+that covers most counts; repeated rows repeat; an empty benchmark matches nothing; an empty table gives an
+empty result; very long texts are read whole; other columns are carried along under their names.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -35,15 +38,16 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.blocks import _U, tokens, window_hashes, word_hashes
+from gleaner.llm.blocks import _U, cut_lineage, mix, release, tokens, window_hashes, word_hashes
 from gleaner.session import ship
 
-WINDOW, LEAST, COVERAGE = 8, 5, 0.5
+WINDOW, COVERAGE = 8, 0.5
 #: Words of an item that contaminate by themselves if they are copied verbatim.
 VERBATIM = 35
-BLOCK_BYTES = 8 << 20
 #: Texts of so many bytes are taken at once.
-STEP = 4 << 20
+STEP = 2 << 20
+#: Logarithm of the number of bits that tell a document's windows apart from the benchmark's, and of their slices.
+BITS, SLICES = 24, 5
 
 #: Unit words and symbols.
 UNITS = frozenset("% percent mm cm m km inch inches foot feet ft yard yards mile miles mg g kg gram grams ton tons lb lbs pound pounds oz ml l litre litres liter liters s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years cent cents dollar dollars euro euros usd eur degree degrees".split())
@@ -133,13 +137,13 @@ def _runs(flags: np.ndarray) -> list[tuple[int, int]]:
 class Index:
     """The benchmark block's windows by template and width: sorted hashes with their places."""
 
-    def __init__(self, ids: list[int], texts: list[str]) -> None:
+    def __init__(self, ids: list[int], texts: list[str], least: int = 1) -> None:
         self.ids, self.words = ids, Words(pa.array(texts, pa.string()))
         self.t = [Templates(self.words, loose) for loose in (False, True)]
         self.by_width: list[dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.uint64]]] = []
         for t in self.t:
             size, made = np.diff(t.starts), {}
-            for width in sorted({min(WINDOW, int(n)) for n in size if n >= LEAST}):
+            for width in sorted({min(WINDOW, int(n)) for n in size if n >= least}):
                 h, at = _windows(t, width)
                 whole = size[t.doc[at]]
                 own = whole >= WINDOW if width == WINDOW else whole == width
@@ -198,7 +202,8 @@ class Index:
             same = t.filling[at] == d.filling[at + offset]
             slot = t.kind[at] != WORD
             pairs = list(zip([loose] * int(slot.sum()), t.kind[at][slot].tolist(), t.filling[at][slot].tolist(), d.filling[at + offset][slot].tolist(), strict=True))
-            if not same.all() and _one_to_one(set(pairs)):
+            # A template of a few words says too little.
+            if not same.all() and len(covered) >= WINDOW and _one_to_one(set(pairs)):
                 add(a, b, False, set(pairs))
             for x, y in _runs(same):
                 if y - x >= least:
@@ -230,36 +235,115 @@ def _one_to_one(pairs: set[tuple]) -> bool:
     return len(pairs) == len({p[:3] for p in pairs}) == len({(p[0], p[1], p[3]) for p in pairs})
 
 
-def _blocks(benchmark: DataFrame) -> Iterator[tuple[list[int], list[str]]]:
-    ids, texts, size = [], [], 0
-    for row in benchmark.select(benchmark["item_id"].cast("long"), benchmark["text"].cast("string")).filter("text is not null").toLocalIterator():
-        ids.append(row[0])
-        texts.append(row[1])
-        size += len(row[1])
-        if size >= BLOCK_BYTES:
-            yield ids, texts
-            ids, texts, size = [], [], 0
-    if ids:
-        yield ids, texts
+def _named(h: np.ndarray, width: int, loose: bool) -> np.ndarray:
+    """Hashes of windows that tell widths and kinds of template apart too."""
+    return mix(h, np.full(len(h), 2 * width + loose, _U))
 
 
-def find_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(doc_id, item_id, coverage): a row for every document and every item that it holds."""
-    spark = docs.sparkSession
-    ship(spark)
-    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
-    found = []
-    for ids, texts in _blocks(benchmark):
-        shared = spark.sparkContext.broadcast((ids, texts))
+def _item_windows(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """(h, item, width, need) of (item, text): every window, and how many of an item's must be found at least."""
+    for part in _steps(batches, "text"):
+        words = Words(part.column("text"))
+        size, made, span = np.diff(words.starts), [], np.ones(part.num_rows, np.int64)
+        for loose in (False, True):
+            t = Templates(words, loose)
+            n = np.diff(t.starts)
+            for width in sorted({min(WINDOW, int(x)) for x in n if x >= least}):
+                h, at = _windows(t, width)
+                whole = n[t.doc[at]]
+                own = whole >= WINDOW if width == WINDOW else whole == width
+                h, at = h[own], at[own]
+                np.maximum.at(span, t.doc[at], t.end[at + width - 1] - t.first[at])
+                made.append((_named(h, width, loose), t.doc[at], np.full(len(h), width)))
+        if not made:
+            continue
+        h, item, width = (np.concatenate(x) for x in zip(*made, strict=True))
+        # A window covers ``span`` words at most, and so many must be covered in all.
+        need = np.ceil(np.minimum(COVERAGE * size, VERBATIM) / span).astype(np.int64)
+        yield pa.RecordBatch.from_pydict({"h": pa.array(h.view(np.int64)), "item": part.column("item").take(pa.array(item)), "width": pa.array(width, pa.int32()), "need": pa.array(need[item], pa.int64())})
 
-        def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index = Index(*shared.value)
-            for part in _steps(batches, "text"):
-                hits = index.search(part.column("text"))
-                yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id").take(pa.array([d for d, _, _ in hits], pa.int64())), "item_id": pa.array([i for _, i, _ in hits], pa.int64()), "coverage": pa.array([c for *_, c in hits], pa.float64())})
 
-        found.append(rows.mapInArrow(search, "doc_id long, item_id long, coverage double"))
-    return reduce(DataFrame.union, found) if found else rows.filter("false").selectExpr("doc_id", "doc_id as item_id", "0D as coverage")
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(slice, bits): which leading bits the hashes of a column have."""
+    seen = np.zeros(1 << BITS, bool)
+    for batch in batches:
+        seen[batch.column(0).to_numpy(zero_copy_only=False).view(_U) >> _U(64 - BITS)] = True
+    for k, part in enumerate(np.split(seen, 1 << SLICES)):
+        if part.any():
+            yield pa.RecordBatch.from_pydict({"slice": pa.array([k], pa.int32()), "bits": pa.array([np.packbits(part).tobytes()], pa.binary())})
+
+
+def _bits(windows: DataFrame) -> np.ndarray:
+    """The bits of all hashes; 2 ** BITS / 8 bytes in all come to the driver."""
+
+    def united(table: pa.Table) -> pa.Table:
+        bits = np.zeros((1 << BITS - SLICES) // 8, np.uint8)
+        for body in table.column("bits"):
+            bits |= np.frombuffer(body.as_buffer(), np.uint8)
+        return pa.table({"slice": table.column("slice")[:1], "bits": pa.array([bits.tobytes()], pa.binary())})
+
+    out = np.zeros(1 << BITS, bool).reshape(1 << SLICES, -1)
+    for r in windows.select("h").mapInArrow(_slices, "slice int, bits binary").groupBy("slice").applyInArrow(united, "slice int, bits binary").collect():
+        out[r.slice] = np.unpackbits(np.frombuffer(r.bits, np.uint8))
+    return out.reshape(-1)
+
+
+def _found(rows: DataFrame, benchmark: DataFrame, least: int) -> DataFrame:
+    """(_row, doc_id, item_id, coverage) of ``rows`` (_row, doc_id, text)."""
+    spark = rows.sparkSession
+    ship(spark)
+    items = benchmark.select(F.monotonically_increasing_id().alias("item"), benchmark["item_id"].cast("long").alias("item_id"), benchmark["text"].cast("string").alias("item_text"))
+    windows = items.select("item", F.col("item_text").alias("text")).mapInArrow(lambda batches: _item_windows(batches, least), "h long, item long, width int, need long")
+    windows = cut_lineage(windows.groupBy("h", "item").agg(F.count(F.lit(1)).alias("n"), F.first("width").alias("width"), F.first("need").alias("need")))
+    widths = sorted(r.width for r in windows.select("width").distinct().collect())  # WINDOW at most
+    shared = spark.sparkContext.broadcast(np.packbits(_bits(windows)))  # 2 ** BITS / 8 bytes
+
+    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.unpackbits(shared.value).view(bool)
+        for part in _steps(batches, "text"):
+            words, made = Words(part.column("text")), []
+            for loose in (False, True):
+                t = Templates(words, loose)
+                for width in widths:
+                    h, at = _windows(t, width)
+                    h = _named(h, width, loose)
+                    hit = np.flatnonzero(seen[h >> _U(64 - BITS)])
+                    if len(hit):
+                        made.append(np.stack([t.doc[at[hit]].astype(_U), h[hit]], axis=1))
+            if made:
+                found = np.unique(np.concatenate(made), axis=0)
+                yield pa.RecordBatch.from_pydict({"_row": part.column("_row").take(pa.array(found[:, 0].astype(np.int64))), "h": pa.array(np.ascontiguousarray(found[:, 1]).view(np.int64))})
+
+    asked = rows.select("_row", "text").mapInArrow(likely, "_row long, h long")
+    pairs = asked.join(windows.select("h", "item", "n", "need"), "h").groupBy("_row", "item").agg(F.sum("n").alias("n"), F.first("need").alias("need")).filter("n >= need").select("_row", "item")
+    both = rows.join(pairs, "_row").join(items, "item").select("_row", "doc_id", "text", "item", "item_id", "item_text")
+
+    def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _steps(batches, "text"):
+            own, of = np.unique(part.column("item").to_numpy(), return_index=True)
+            index = Index(own.tolist(), part.column("item_text").take(pa.array(of)).to_pylist(), least)
+            wanted = part.column("item").to_pylist()
+            docs, first = np.unique(part.column("_row").to_numpy(), return_index=True)
+            place = {(int(r), i): k for k, (r, i) in enumerate(zip(part.column("_row").to_pylist(), wanted, strict=True))}
+            hits = index.search(part.column("text").take(pa.array(first)))
+            hits = [(place[int(docs[d]), i], c) for d, i, c in hits if (int(docs[d]), i) in place]
+            at = pa.array([k for k, _ in hits], pa.int64())
+            yield pa.RecordBatch.from_arrays([part.column(c).take(at) for c in ("_row", "doc_id", "item_id")] + [pa.array([c for _, c in hits], pa.float64())], names=["_row", "doc_id", "item_id", "coverage"])
+            release()
+
+    return both.mapInArrow(verified, "_row long, doc_id long, item_id long, coverage double")
+
+
+def _placed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``docs`` with columns _c0, _c1, ... and _row, and its _row, doc_id and text."""
+    names = docs.columns
+    placed = docs.toDF(*(f"_c{i}" for i in range(len(names)))).withColumn("_row", F.monotonically_increasing_id())
+    return placed, placed.select("_row", F.col(f"_c{names.index('doc_id')}").cast("long").alias("doc_id"), F.col(f"_c{names.index('text')}").cast("string").alias("text"))
+
+
+def find_contaminated(docs: DataFrame, benchmark: DataFrame, least: int = 1) -> DataFrame:
+    """(doc_id, item_id, coverage): a row for every document and every item that it holds."""
+    return _found(_placed(docs)[1], benchmark, least).drop("_row")
 
 
 def _steps(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
@@ -275,20 +359,8 @@ def _steps(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Record
             yield batch.slice(a, b - a)
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that hold no benchmark item, with all their columns; one pass for each benchmark block."""
-    spark = docs.sparkSession
-    ship(spark)
-    names, at = docs.columns, docs.columns.index("text")
-    rows = docs.toDF(*(f"_c{i}" for i in range(len(names))))
-    for ids, texts in _blocks(benchmark):
-        shared = spark.sparkContext.broadcast((ids, texts))
-
-        def keep(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index = Index(*shared.value)
-            for part in _steps(batches, f"_c{at}"):
-                bad = {d for d, _, _ in index.search(part.column(at))}
-                yield part.filter(pa.array([i not in bad for i in range(part.num_rows)], pa.bool_()))
-
-        rows = rows.mapInArrow(keep, rows.schema)
-    return rows.toDF(*names)
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, least: int = 1) -> DataFrame:
+    """The documents that hold no benchmark item, with all their columns.  ``docs`` must be a deterministic plan."""
+    placed, rows = _placed(docs)
+    bad = _found(rows, benchmark, least).select("_row").distinct()
+    return placed.join(bad, "_row", "left_anti").select(*(F.col(f"_c{i}").alias(n) for i, n in enumerate(docs.columns)))

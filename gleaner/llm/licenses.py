@@ -3,11 +3,13 @@
 A text is brought to a canonical form: copyright lines go, letters are lower-cased, everything but
 letters and digits becomes one space, and equivalent spellings become one.  The SHA-256 of the form
 is joined to the digests of known licence texts.  The known table has a fixed number of rows (those
-in this module, and what a caller adds within ``MOST_KNOWN``), so it is broadcast.  The same form of
-each line tells which known notices ("Released under the ... License.") a text holds.
+in this module, and what a caller adds within ``MOST_KNOWN``), so it is broadcast.  The same form, with
+copyright lines kept, tells which known notices ("Released under the ... License") stand anywhere in a text,
+within a line of any length or over several.
 
 Everything is a DataFrame expression.  Defined cases: a null text counts as empty; an empty form has
-no licence; repeated rows and other columns don't matter; long texts are digested whole.
+no licence; repeated rows and other columns don't matter, whatever their names; long texts are read whole;
+an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -94,7 +96,8 @@ _KNOWN_IDS = sorted({*NAMES, *(i for i, _ in KNOWN), *(i for i, _ in DIGESTS)})
 #: Identifiers in SPDX lines; those of GNU licences have two more forms, each an identifier of its own.
 SPDX = [*_KNOWN_IDS, *(f"{i}{form}" for i in _KNOWN_IDS if i.startswith(("GPL-", "LGPL-", "GFDL-")) for form in ("-only", "-or-later"))]
 OPENINGS = ["Licensed under", "Released under", "This work is licensed under", "This software is licensed under", "This file is licensed under", "Distributed under", "Available under"]
-NOTICES: list[tuple[str, str]] = [(i, f"{o} {n}") for i, names in NAMES.items() for n in names for o in OPENINGS] + [(i, f"SPDX-License-Identifier: {i}") for i in SPDX]
+#: A text without one of these holds no notice.
+LIKELY = "(?i)licen[cs]e|released|distributed|available"
 
 _PLAIN = re.compile(r"[\W_]+")
 
@@ -118,6 +121,25 @@ def canonical(text: Column, lines: bool = True) -> Column:
     return F.trim(text)
 
 
+def _spread(form: str) -> str:
+    """A canonical form with every space doubled, so that neighbouring matches can each have the space between them."""
+    return form.replace(" ", "  ")
+
+
+def notice_ids() -> dict[str, str]:
+    """What stands after an opening, or is an SPDX line, with the identifier meant; spread canonical forms."""
+    found = {_spread(plain_canonical(n, lines=False)): i for i, names in NAMES.items() for n in names}
+    return found | {_spread(plain_canonical(f"SPDX-License-Identifier: {i}", lines=False)): i for i in SPDX}
+
+
+def notice_pattern() -> str:
+    """One group: the key of ``notice_ids``.  Longer alternatives come first, as the first that fits is taken."""
+    names, lines = {_spread(plain_canonical(n, lines=False)) for own in NAMES.values() for n in own}, {k for k in notice_ids() if k.startswith("spdx")}
+    openings = "|".join(sorted({_spread(plain_canonical(o, lines=False)) for o in OPENINGS}, key=lambda x: (-len(x), x)))
+    either = "|".join(sorted(names, key=lambda x: (-len(x), x)))
+    return f"(?: (?:{openings})  ({either}) )|(?: ({'|'.join(sorted(lines, key=lambda x: (-len(x), x)))}) )"
+
+
 def digest(form: str) -> str:
     return hashlib.sha256(form.encode()).hexdigest()
 
@@ -134,12 +156,13 @@ def scan_licenses(docs: DataFrame, more: list[tuple[str, str]] | None = None) ->
         raise ValueError("too many known texts, or one text with two identifiers")
     spark = docs.sparkSession
     table = spark.createDataFrame(known, "known string, license_id string")
-    notices = sorted({(plain_canonical(t, lines=False), i) for i, t in NOTICES})
-    lookup = F.create_map(*(F.lit(x) for pair in notices for x in pair))
+    lookup = F.create_map(*(F.lit(x) for pair in sorted(notice_ids().items()) for x in pair))
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
-    # A line can be a notice only if it names a licence; few do, so few are brought to canonical form.
-    likely = F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda line: (F.char_length(line) < 200) & line.rlike("(?i)licen[cs]e|released|distributed|available"))
-    found = F.array_sort(F.array_distinct(F.filter(F.transform(likely, lambda line: F.try_element_at(lookup, canonical(line, lines=False))), lambda x: x.isNotNull())))
+    spread = F.concat(F.lit(" "), F.replace(canonical(F.col("text"), lines=False), F.lit(" "), F.lit("  ")), F.lit(" "))
+    pattern = F.lit(notice_pattern())
+    ids = F.concat(*(F.regexp_extract_all(spread, pattern, F.lit(group)) for group in (1, 2)))
+    # Few texts name a licence, so few are brought to this form.
+    found = F.when(F.col("text").rlike(LIKELY), F.array_sort(F.array_distinct(F.transform(F.filter(ids, lambda x: x != ""), lambda x: F.try_element_at(lookup, x)))))
     rows = rows.select("doc_id", F.sha2(F.encode(canonical(F.col("text")), "UTF-8"), 256).alias("digest"), F.nullif(F.array_join(found, ","), F.lit("")).alias("notices"))
     return rows.join(F.broadcast(table), rows["digest"] == table["known"], "left").select("doc_id", "digest", "license_id", "notices")
 
@@ -155,11 +178,13 @@ def _oracle() -> str:
         return f"trim({sql})"
 
     known = ", ".join(f"({quote(d)}, {quote(i)})" for d, i in known_digests())
-    notices = ", ".join(f"({quote(c)}, {quote(i)})" for c, i in sorted({(plain_canonical(t, lines=False), i) for i, t in NOTICES}))
+    ids = ", ".join(f"({quote(c)}, {quote(i)})" for c, i in sorted(notice_ids().items()))
+    pattern = quote(notice_pattern())
     return f"""
-WITH known(k, license_id) AS (VALUES {known}), notice(c, i) AS (VALUES {notices}),
+WITH known(k, license_id) AS (VALUES {known}), notice(c, i) AS (VALUES {ids}),
 d AS (SELECT doc_id, text, sha256({form("coalesce(text, '')", True)}) AS digest FROM documents),
-l AS (SELECT DISTINCT doc_id, {form("line", False)} AS c FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d) WHERE length(line) < 200 AND regexp_matches(line, '(?i)licen[cs]e|released|distributed|available')),
+s AS (SELECT doc_id, ' ' || replace({form("text", False)}, ' ', '  ') || ' ' AS c FROM d WHERE regexp_matches(text, '{LIKELY}')),
+l AS (SELECT doc_id, unnest(list_concat(regexp_extract_all(c, {pattern}, 1), regexp_extract_all(c, {pattern}, 2))) AS c FROM s),
 n AS (SELECT doc_id, string_agg(DISTINCT i, ',' ORDER BY i) AS notices FROM l JOIN notice USING (c) GROUP BY doc_id)
 SELECT d.doc_id, d.digest, known.license_id, n.notices FROM d LEFT JOIN known ON d.digest = known.k LEFT JOIN n ON d.doc_id = n.doc_id
 """

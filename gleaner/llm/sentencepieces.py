@@ -5,16 +5,19 @@ piece goes past the end of a word, and a character that no piece holds (a line b
 The distinct words of a block are sorted, which is a depth-first walk of their trie, and each prefix
 keeps its forward state, so words share the work on what they have in common.
 
-The models handled are BPE models with byte fallback.  Adding up piece scores, as for a unigram
-model, would give other pieces than the library does, so the forward step is the one for BPE: the
+For a unigram model the state of a prefix is its best sum of piece scores and the last piece (Viterbi).
+For a BPE model, adding up scores would give other pieces than the library does, so its forward step is: the
 encoding of a prefix is that of a shorter prefix and one last piece, namely the one piece that ends
 there and is *stable* next to the last piece of the shorter prefix (BPE applied to both pieces'
 characters gives just these two pieces).  Exactly one piece qualifies, so the state of a prefix is
-the length of its last piece, and back pointers give the encoding, as in Viterbi's algorithm.
+the length of its last piece, and back pointers give the encoding, as in Viterbi's algorithm.  The kind of
+model is told by its scores, which are ranks in a BPE model; a model that disagrees with the library on
+``PROBES`` (one that normalises texts, say) is refused.
 
 Defined cases: a null or empty text has no pieces; unknown characters become their UTF-8 bytes'
 pieces; a text that holds the mark itself decodes to spaces in its place, as in the library;
-repeated rows and other columns are carried along.
+repeated rows and other columns are carried along, whatever their names, but for a column that has the
+name of the result, which it replaces; very long texts are read whole; an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -36,7 +39,11 @@ from gleaner.session import ship
 
 MARK = "▁"
 #: Bytes of text whose distinct words are encoded at once, and words that a worker remembers.
-STEP, REMEMBERED, MOST_PAIRS = 8 << 20, 250_000, 700_000
+STEP, MOST_PAIRS = 4 << 20, 500_000
+#: Characters of the words that a worker remembers, and of the longest that it does; some 40 MB.
+REMEMBERED, LONGEST = 1 << 20, 32
+#: The library's and this module's pieces of these must be the same.
+PROBES = ["Hello world", " two  spaces ", "Ünïcode ﬁ ① ﾊﾝ 中文 😀\t\n1234.5", "a" * 40]
 #: Stands for no piece.
 EDGE = 1 << 19
 SHORT = (2, 1)
@@ -62,6 +69,9 @@ class Codec:
             elif not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)):
                 self.ids[piece], self.rank[piece] = i, -sp.get_score(i)
                 self.bytes_of[i] = piece.replace(MARK, " ").encode()
+        self.unigram = not all(float(r).is_integer() for r in self.rank.values())
+        self.unknown = max(self.rank.values(), default=0.0) + 10.0  # the library's penalty
+        self.most = max(map(len, self.ids), default=1)
         if any(MARK in p.lstrip(MARK) for p in self.ids):
             raise ValueError("a piece goes past the end of a word; this model isn't handled")
         # Characters that join no other end a word too, which makes words repeat more often.
@@ -77,8 +87,12 @@ class Codec:
         self.stable: dict[int, bool] = {}
         self.edges: dict[int, tuple[list, list] | None] = {}
         self.known: dict[str, np.ndarray] = {}
+        self.known_size = 0
         self.piece_bytes = np.frombuffer(b"".join(self.bytes_of), np.uint8)
         self.piece_sizes = np.array([len(b) for b in self.bytes_of], np.int64)
+        for text in PROBES:
+            if self.encode([text])[0].tolist() != sp.encode(text):
+                raise ValueError("the library encodes otherwise; this model isn't handled")
 
     def merged(self, text: str) -> list[str]:
         """BPE by its definition: the best-ranked neighbours join first, the leftmost of equals."""
@@ -143,6 +157,9 @@ class Codec:
 
     def walk(self, words: list[str]) -> Iterator[tuple[str, list[int]]]:
         """The pieces of each of the sorted, distinct words, from the last to the first; a code point below zero is unknown."""
+        if self.unigram:
+            yield from self._viterbi(words)
+            return
         last: list[int] = [EDGE]  # of every prefix, the piece that it ends in
         before, ids, known, tails, judge = "", self.ids.get, self.stable.get, self.tails.get, self._judge
         size = [len(self.text_of.get(i, "x")) for i in range(len(self.bytes_of))]
@@ -178,6 +195,29 @@ class Codec:
             yield word, pieces
             before = word
 
+    def _viterbi(self, words: list[str]) -> Iterator[tuple[str, list[int]]]:
+        """``walk`` by the best sum of scores: of every prefix the best cost, and the last piece on the way to it."""
+        cost, last, before, ids, rank = [0.0], [EDGE], "", self.ids.get, self.rank
+        for word in words:
+            shared, most = 0, min(len(before), len(word))
+            while shared < most and before[shared] == word[shared]:
+                shared += 1
+            del cost[shared + 1 :], last[shared + 1 :]
+            for end in range(shared + 1, len(word) + 1):
+                best, at = cost[end - 1] + self.unknown, -ord(word[end - 1]) - 1
+                for start in range(max(0, end - self.most), end):
+                    piece = ids(word[start:end])
+                    if piece is not None and (now := cost[start] + rank[word[start:end]]) < best:
+                        best, at = now, piece
+                cost.append(best)
+                last.append(at)
+            pieces, end = [], len(word)
+            while end:
+                pieces.append(last[end])
+                end -= len(self.text_of[last[end]]) if last[end] >= 0 else 1
+            yield word, pieces
+            before = word
+
     def encode_words(self, words: list[str]) -> list[np.ndarray]:
         new = sorted(w for w in words if w not in self.known)
         made = {}
@@ -187,9 +227,13 @@ class Codec:
                 out += [p] if p >= 0 else self.byte_ids[list(chr(-p - 1).encode())].tolist()
             made[word] = np.array(out, np.uint32)
         result = [made[w] if w in made else self.known[w] for w in words]
-        if len(self.known) + len(made) > REMEMBERED:
-            self.known.clear()
-        self.known.update(list(made.items())[:REMEMBERED])
+        for word, pieces in made.items():
+            if len(word) <= LONGEST:
+                if self.known_size > REMEMBERED:
+                    self.known.clear()
+                    self.known_size = 0
+                self.known[word] = pieces
+                self.known_size += len(word)
         return result
 
     def split(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, list[str]]:
@@ -258,6 +302,7 @@ def _steps(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[pa.RecordBatc
 def encode_documents(docs: DataFrame, path: str, into: str = "piece_ids") -> DataFrame:
     """``docs`` with the ids of its texts' pieces, array<int>."""
     ship(docs.sparkSession)
+    docs = docs.drop(into)
     names, at = docs.columns, docs.columns.index("text")
     rows = docs.toDF(*(f"_c{i}" for i in range(len(names))))
 
@@ -278,6 +323,7 @@ def _small(batch: pa.RecordBatch, rows: int = 500) -> Iterator[pa.RecordBatch]:
 def decode_documents(encoded: DataFrame, path: str, ids: str = "piece_ids", into: str = "decoded") -> DataFrame:
     """``encoded`` with the text that the ids stand for; bytes that aren't UTF-8 become U+FFFD."""
     ship(encoded.sparkSession)
+    encoded = encoded.drop(into)
     names, at = encoded.columns, encoded.columns.index(ids)
     rows = encoded.toDF(*(f"_c{i}" for i in range(len(names))))
 

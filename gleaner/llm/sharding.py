@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 
 #: Rows aimed at in a numbering cell, and the fewest cells of a shard.
 CELL_ROWS, LEAST_CELLS = 20_000, 256
+#: Copies of a row that are told out at once.
+COPIES = 65_536
 
 
 def shard_of(key: Column, weights: Sequence[float], seed: int = 1) -> Column:
@@ -63,7 +65,9 @@ def number_slots(df: DataFrame, shard: str, key: str, into: str = "slot") -> Dat
     within = f"coalesce(sum(_n) over (partition by {s}, _cell order by {', '.join(['_digest', k, *rest])} rows between unbounded preceding and 1 preceding), 0)"
     rows = rows.withColumn("_within", F.expr(within)).drop("_digest")
     rows = rows.join(first, rows[s].eqNullSafe(first["_s"]) & (rows["_cell"] == first["_at"]))
-    rows = rows.withColumn("_copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)))
+    # Copies are told out in two steps, so that arrays stay small.
+    rows = rows.withColumn("_from", F.explode(F.expr(f"sequence(0L, _n - 1, {COPIES}L)")))
+    rows = rows.withColumn("_copy", F.explode(F.expr(f"sequence(_from, least(_n, _from + {COPIES}) - 1)")))
     return rows.select(*(F.col(f"_c{i}").alias(n) for i, n in enumerate(names)), (F.col("_first") + F.col("_within") + F.col("_copy")).alias(into))
 
 

@@ -14,7 +14,9 @@ and no pair is lost.  A task gives a spanning forest of its links, never all pai
 
 Defined cases: words are ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z; shingles of three words,
 repeats counted; fewer words: the whole sequence; none or a null text: fingerprint zero, linked like
-any other.  A null doc_id is never a component's name unless all its members' are null.
+any other.  A null doc_id is never a component's name unless all its members' are null.  Very long texts
+are read whole; repeated rows are members each; an empty table gives an empty result; other columns are
+carried along under their names, whatever these are.
 """
 
 from __future__ import annotations
@@ -54,7 +56,7 @@ def simhash(text: str | None) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """``docs`` with a column ``_print``: the fingerprint as a signed long."""
+    """``docs`` with a column ``_print``, of which it has none: the fingerprint as a signed long."""
     ship(docs.sparkSession)
     names = docs.columns
     rows = docs.toDF(*(f"_c{i}" for i in range(len(names))))
@@ -167,10 +169,11 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
 
     All columns stay.  Rows are told apart by their place in ``docs``, which must be a deterministic plan.
     """
-    placed = docs.withColumn("_row", F.monotonically_increasing_id())
-    slim = placed.select("_row", docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
+    names = docs.columns
+    placed = docs.toDF(*(f"_c{i}" for i in range(len(names)))).withColumn("_row", F.monotonically_increasing_id())
+    slim = placed.select("_row", F.col(f"_c{names.index('doc_id')}").cast("long").alias("doc_id"), F.col(f"_c{names.index('text')}").cast("string").alias("text"))
     slim = cut_lineage(fingerprints(slim).drop("text"))
     first = slim.join(classes(slim), "_print").filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
     # All members of a class of null ids have its name, so such a class is named by its fingerprint too.
     keep = first.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("_print"))).agg(F.min("_row").alias("_row")).select("_row")
-    return placed.join(keep, "_row", "left_semi").select(*docs.columns)
+    return placed.join(keep, "_row", "left_semi").select(*(F.col(f"_c{i}").alias(n) for i, n in enumerate(names)))

@@ -26,5 +26,9 @@ def test_whole_texts(spark):
 def test_spdx_lines(spark):
     ids = ["ISC", "0BSD", "MIT-0", "GPL-3.0-only", "GPL-3.0-or-later", "LGPL-2.1-or-later", "Apache-2.0", "GPL-2.0", "CC-BY-4.0"]
     assert [r.notices for r in scan(spark, [f"# SPDX-License-Identifier: {i}\ncode" for i in ids])] == ids
-    forms = [licenses.plain_canonical(t, lines=False) for _, t in licenses.NOTICES]
-    assert len(set(forms)) == len({(f, i) for f, (i, _) in zip(forms, licenses.NOTICES, strict=True)})
+
+
+def test_notices_stand_anywhere(spark):
+    filler = "nothing to see " * 40
+    texts = [f"{filler}released under the MIT License {filler}", "Licensed under the\n# Apache License, Version 2.0 and released under the MIT licence", "Copyright 2020 X. Licensed under the Apache License 2.0", "the MIT License", "released under the MIT Licensee"]
+    assert [r.notices for r in scan(spark, texts)] == ["MIT", "Apache-2.0,MIT", "Apache-2.0", None, None]

@@ -257,8 +257,8 @@ def test_decontamination(spark, docs, empty):
     items = spark.createDataFrame([(1, ITEM), (2, None), (3, ""), (4, "one two"), (5, "six plain words make one item")], "item_id long, text string")
     texts = [ITEM, "So: in it Carol has 7 apples and gives Dan 4kg of flour, so how many apples does Carol have? Yes.", "In it Carol has 7 apples and gives Dan 4 kg of flour, so how many apples does Dan have?", "Nothing to see here at all, one two", "here: six plain words make one item", None]
     d = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], SCHEMA)
-    assert {(r.doc_id, r.item_id) for r in decontam.find_contaminated(d, items).collect()} == {(0, 1), (1, 1), (4, 5)}
-    assert [r.doc_id for r in decontam.drop_contaminated(d, items).orderBy("doc_id").collect()] == [2, 3, 5]
+    assert {(r.doc_id, r.item_id) for r in decontam.find_contaminated(d, items).collect()} == {(0, 1), (1, 1), (3, 4), (4, 5)}
+    assert [r.doc_id for r in decontam.drop_contaminated(d, items, least=5).orderBy("doc_id").collect()] == [2, 3, 5]
     assert decontam.find_contaminated(docs, items.limit(0)).count() == 0 and decontam.drop_contaminated(empty, items).count() == 0
 
 
