@@ -13,11 +13,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner import constants as K
+from gleaner import expected, samples
+from gleaner.checkpoints import cut_lineage
 from gleaner.functions import emails as E
 from gleaner.functions import people as P
 from gleaner.functions import urls as U
 from gleaner.functions import web as H
-from gleaner.operators import crawl, merge, verify
+from gleaner.operators import crawl, merge, task, verify
 from gleaner.pages import parse_pages
 from gleaner.plans import report
 from gleaner.sources.tables import as_json_lines, read
@@ -65,6 +67,16 @@ def query(oracle: str | None = None):
     return add
 
 
+def _samples(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(samples.PAGES, "url string, html string")
+
+
+def _values(columns: str, rows: list[tuple]) -> str:
+    """Rows as SQL."""
+    one = lambda v: "NULL" if v is None else str(v).upper() if isinstance(v, bool) else str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'"
+    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(one, r)) + ')' for r in rows)}) t({columns})"
+
+
 def _in(values: list[str]) -> str:
     return "(" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + ")"
 
@@ -108,9 +120,27 @@ def f4_classify(spark, d):
     return _pages(spark, d).select("page_id", U.classify(F.col("url"), _DIRECTORY).alias("page_type"))
 
 
-@query()
+def _without_dots(p: str) -> str:
+    fold = f"list_reduce(string_split(substr({p}, 2), '/'), lambda made, x: CASE WHEN x = '.' THEN made WHEN x = '..' THEN regexp_replace(made, '/[^/]*$', '') ELSE made || '/' || x END, '')"
+    return f"CASE WHEN contains({p}, '/.') THEN coalesce(nullif({fold} || CASE WHEN regexp_matches({p}, '/\\.\\.?$') THEN '/' ELSE '' END, ''), '/') ELSE {p} END"
+
+
+def _resolved(base: str, href: str) -> str:
+    origin, plain, path = f"regexp_extract({base}, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1)", f"regexp_extract({href}, '^([^?#]*)', 1)", _PATH.format(u=base)
+    joined = f"(coalesce(nullif(regexp_extract({path}, '^(.*/)', 1), ''), '/') || {plain})"
+    tail = f"substr({href}, length({plain}) + 1)"
+    return (
+        f"CASE WHEN regexp_matches({href}, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN {href} WHEN {href} LIKE '//%' THEN regexp_extract({base}, '^([A-Za-z][A-Za-z0-9+.-]*:)', 1) || {href}"
+        f" WHEN {href} LIKE '/%' THEN {origin} || {_without_dots(plain)} || {tail} WHEN {plain} = '' THEN {origin} || {path} || {href} ELSE {origin} || {_without_dots(joined)} || {tail} END"
+    )
+
+
+HREFS = """regexp_extract_all(html, '<a\\s[^>]*?href=["\'\']([^"\'\']*)["\'\']', 1)"""
+
+
+@query(f"SELECT page_id, {_resolved('url', 'href')} AS link FROM (SELECT page_id, url, unnest({HREFS}) AS href FROM pages)")
 def f5_resolve(spark, d):
-    return _pages(spark, d).select("page_id", "url", F.explode(U.hrefs(F.col("html"))).alias("href")).select("page_id", U.resolve_udf(F.col("url"), F.col("href")).alias("link"))
+    return _pages(spark, d).select("page_id", "url", F.explode(U.hrefs(F.col("html"))).alias("href")).select("page_id", U.resolved(F.col("url"), F.col("href")).alias("link"))
 
 
 @query("SELECT page_id, CASE WHEN regexp_matches(url, '[?&]ref=') THEN 'https://www.example.org/' ELSE 'https://clutch.co/r?a=1' END AS target FROM pages")
@@ -137,18 +167,20 @@ def f10_f11_blocked(spark, d):
 
 
 def internal_links(pages: DataFrame, most: int = 10) -> DataFrame:
-    """H5, H6, H9 without a DOM, for root-relative links: (page_id, link, n) with the best links of each page first."""
-    rows = pages.select("page_id", F.regexp_extract("url", "^([A-Za-z]+://[^/?#]*)", 1).alias("origin"), F.explode(F.array_distinct(U.hrefs(F.col("html")))).alias("href"))
-    rows = rows.filter(U.followable(F.col("href")) & F.col("href").startswith("/") & ~F.col("href").startswith("//"))
-    rows = rows.filter(~U.path(F.concat("origin", "href")).isin("", "/") & ~U.blocked(U.path(F.concat("origin", "href"))))
-    rows = rows.select("page_id", U.canonical(F.concat("origin", "href")).alias("link")).distinct()
+    """H5, H6, H9 without a DOM: (page_id, link, n) with the best links of each page within its host first."""
+    rows = pages.select("page_id", "url", F.explode(F.array_distinct(U.hrefs(F.col("html")))).alias("href"))
+    rows = rows.filter(U.followable(F.col("href"))).select("page_id", "url", U.resolved(F.col("url"), F.col("href")).alias("full"))
+    place = U.path(F.col("full"))
+    rows = rows.filter((U.domain(F.col("full")) == U.domain(F.col("url"))) & ~place.isin("", "/") & ~U.blocked(place))
+    rows = rows.select("page_id", U.canonical(F.col("full")).alias("link")).distinct()
     plain = ~F.lower("link").rlike("|".join(K.PRIORITY_KEYWORDS))
     ranked = rows.withColumn("plain", plain).withColumn("n", F.expr("row_number() over (partition by page_id order by plain, link)"))
     return ranked.filter(F.col("n") <= most).select("page_id", "link", F.col("n").cast("int").alias("n"))
 
 
-_LINKS = f"""WITH a AS (SELECT page_id, regexp_extract(url, '^([A-Za-z]+://[^/?#]*)', 1) || unnest(list_distinct(list_filter(regexp_extract_all(html, '<a\\s[^>]*?href=["'']([^"'']*)["'']', 1), lambda h: h LIKE '/%' AND h NOT LIKE '//%'))) AS url FROM pages),
-l AS (SELECT DISTINCT page_id, {CANONICAL} AS link FROM a WHERE {PATH} NOT IN ('', '/') AND NOT {_BLOCKED}),
+_LINKS = f"""WITH h AS (SELECT page_id, url AS page, unnest(list_distinct(list_filter({HREFS}, lambda h: h <> '' AND NOT regexp_matches(h, '^(#|javascript:|mailto:|tel:)')))) AS href FROM pages),
+a AS (SELECT page_id, page, {_resolved('page', 'href')} AS url FROM h),
+l AS (SELECT DISTINCT page_id, {CANONICAL} AS link FROM a WHERE {HOST} = {_HOST.format(u='page')} AND {PATH} NOT IN ('', '/') AND NOT {_BLOCKED}),
 r AS (SELECT page_id, link, CAST(row_number() OVER (PARTITION BY page_id ORDER BY regexp_matches(lower(link), '{'|'.join(K.PRIORITY_KEYWORDS)}') DESC, link) AS INT) AS n FROM l) """
 
 
@@ -317,24 +349,54 @@ def _company_batch(spark, d):
     return _pages(spark, d).select(F.regexp_replace(host, r"^(m|blog)\.", "").alias("domain"), F.when(F.col("page_id") % 3 > 0, H.title(F.col("html"))).alias("name"), F.when(F.col("page_id") % 5 == 0, F.concat(F.lit("i"), (F.col("page_id") % 7).cast("string"))).alias("industry"), F.col("page_id").alias("seq"), F.create_map(F.concat(F.lit("k"), (F.col("page_id") % 3).cast("string")), F.col("page_id").cast("string")).alias("extra_metadata"))
 
 
-@query(f"WITH b AS (SELECT regexp_replace({HOST}, '^(m|blog)\\.', '') AS domain, CASE WHEN page_id % 3 > 0 THEN {_TITLE} END AS name, CASE WHEN page_id % 5 = 0 THEN 'i' || (page_id % 7) END AS industry, page_id AS seq FROM pages), m AS (SELECT domain, string_agg('k' || k || '=' || v, ',' ORDER BY k) AS metadata FROM (SELECT domain, seq % 3 AS k, max(seq) AS v FROM b GROUP BY domain, seq % 3) GROUP BY domain), l AS ({_LAST}) SELECT l.*, metadata FROM l JOIN m USING (domain)")
+_COMPANY_ROWS = f"SELECT regexp_replace({HOST}, '^(m|blog)\\.', '') AS domain, CASE WHEN page_id % 3 > 0 THEN {_TITLE} END AS name, CASE WHEN page_id % 5 = 0 THEN 'i' || (page_id % 7) END AS industry, page_id FROM pages"
+
+
+@query(
+    f"""WITH p AS ({_COMPANY_ROWS}),
+ o AS (SELECT domain, 'id-' || domain AS id, 'old ' || domain AS name, CASE WHEN max(page_id) % 2 = 0 THEN 'old' END AS industry, '2020' AS created FROM p WHERE page_id % 4 < 2 GROUP BY domain),
+ b AS (SELECT domain, name, industry, NULL AS id, NULL AS created, page_id AS seq FROM p WHERE page_id % 4 >= 2 UNION ALL SELECT domain, name, industry, id, created, -1 FROM o),
+ m AS (SELECT domain, string_agg(k || '=' || v, ',' ORDER BY k) AS metadata FROM (SELECT domain, k, arg_max(v, s) AS v FROM (SELECT domain, 'k' || (page_id % 3) AS k, CAST(page_id AS VARCHAR) AS v, page_id AS s FROM p WHERE page_id % 4 >= 2 UNION ALL SELECT domain, unnest(['k0', 'old']), 'was', -1 FROM o) GROUP BY domain, k) GROUP BY domain)
+SELECT domain, coalesce(max(id), sha256(domain)) AS id, arg_max(name, seq) FILTER (name IS NOT NULL) AS name, arg_max(industry, seq) FILTER (industry IS NOT NULL) AS industry, max(created) AS created, any_value(metadata) AS metadata FROM b JOIN m USING (domain) GROUP BY domain"""
+)
 def u1_upsert_companies(spark, d):
-    kept, _ = merge.upsert_companies(None, _company_batch(spark, d))
+    rows, k = _company_batch(spark, d), F.col("seq")
+    old = rows.filter(k % 4 < 2).groupBy("domain").agg(F.max("seq").alias("m"))
+    old = old.select("domain", F.concat(F.lit("id-"), "domain").alias("id"), F.concat(F.lit("old "), "domain").alias("name"), F.when(F.col("m") % 2 == 0, "old").alias("industry"), F.lit("2020").alias("created"), F.create_map(F.lit("k0"), F.lit("was"), F.lit("old"), F.lit("was")).alias("extra_metadata"))
+    kept, _ = merge.upsert_companies(old, rows.filter(k % 4 >= 2))
     text = F.array_join(F.transform(F.map_entries("extra_metadata"), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",")
-    return kept.select("domain", "name", "industry", text.alias("metadata"))
+    return kept.select("domain", "id", "name", "industry", "created", text.alias("metadata"))
 
 
-@query("SELECT CAST(o_custkey AS VARCHAR) AS company_id, o_orderpriority AS tech_name, arg_min(coalesce(CASE WHEN o_orderstatus <> 'P' THEN o_orderstatus END, 'Detected Stack'), o_orderkey) AS category FROM orders GROUP BY 1, 2")
+_TECHS = "SELECT CAST(o_custkey AS VARCHAR) AS company_id, o_orderpriority AS tech_name, CASE WHEN o_orderstatus <> 'P' THEN o_orderstatus END AS category, o_orderkey FROM orders"
+
+
+@query(f"WITH t AS ({_TECHS}), o AS (SELECT company_id, tech_name, 'Old' AS category FROM t WHERE o_orderkey % 5 = 0 GROUP BY ALL) SELECT * FROM o UNION ALL SELECT company_id, tech_name, coalesce(arg_min_null(category, o_orderkey), 'Detected Stack') FROM t ANTI JOIN o USING (company_id, tech_name) WHERE o_orderkey % 5 > 0 GROUP BY 1, 2")
 def u2_insert_technologies(spark, d):
-    rows = read(spark, d, "orders").select(F.col("o_custkey").cast("string").alias("company_id"), F.col("o_orderpriority").alias("tech_name"), F.coalesce(F.when(F.col("o_orderstatus") != "P", F.col("o_orderstatus")), F.lit("Detected Stack")).alias("category"), F.col("o_orderkey").alias("seq"))
-    return merge.insert_technologies(None, rows)
+    rows = read(spark, d, "orders").select(F.col("o_custkey").cast("string").alias("company_id"), F.col("o_orderpriority").alias("tech_name"), F.when(F.col("o_orderstatus") != "P", F.col("o_orderstatus")).alias("category"), F.col("o_orderkey").alias("seq"))
+    old = rows.filter("seq % 5 = 0").select("company_id", "tech_name", F.lit("Old").alias("category")).distinct()
+    return merge.insert_technologies(old, rows.filter("seq % 5 > 0"))
 
 
-@query("WITH b AS (SELECT 'c' || (o_custkey % 500) || '@x.com' AS work_email, CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE o_orderpriority END AS title, CAST(o_custkey AS VARCHAR) AS company_id, CASE WHEN o_orderkey % 2 = 0 THEN o_orderstatus END AS email_status, o_orderkey AS seq FROM orders) SELECT work_email, arg_max(title, seq) FILTER (title <> '') AS title, arg_max(company_id, seq) AS company_id, arg_max_null(email_status, seq) AS email_status FROM b GROUP BY work_email")
+@query(
+    """WITH n AS (SELECT 'c' || (o_custkey % 500) || '@x.com' AS work_email, CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE o_orderpriority END AS title, CAST(o_custkey AS VARCHAR) AS company_id, CASE WHEN o_orderkey % 2 = 0 THEN o_orderstatus END AS email_status, NULL AS note, lpad(CAST(o_orderkey % 4 AS VARCHAR), 10, '5') AS phone, o_orderkey AS seq FROM orders),
+ o AS (SELECT 'c' || c_custkey || '@x.com' AS work_email, CASE WHEN c_custkey % 2 = 0 THEN 'Old' ELSE '' END AS title, 'c0' AS company_id, 'old' AS email_status, 'kept' AS note, '5555555559' AS phone, -1 AS seq FROM customer WHERE c_custkey % 3 = 0 AND c_custkey < 600),
+ b AS (SELECT * FROM n UNION ALL SELECT * FROM o),
+ p AS (SELECT work_email, phone, min(seq) AS s FROM b GROUP BY ALL),
+ f AS (SELECT work_email, string_agg(phone, ',' ORDER BY s, phone) AS phones FROM (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY work_email ORDER BY s, phone) <= 5) GROUP BY work_email)
+SELECT work_email, coalesce(arg_max(title, seq) FILTER (title <> ''), arg_min(title, seq)) AS title, arg_max(company_id, seq) AS company_id, arg_max_null(email_status, seq) AS email_status, max(note) AS note, any_value(phones) AS phones FROM b JOIN f USING (work_email) GROUP BY work_email"""
+)
 def u3_upsert_leads(spark, d):
     o = read(spark, d, "orders")
-    rows = o.select(F.concat(F.lit("c"), (F.col("o_custkey") % 500).cast("string"), F.lit("@x.com")).alias("work_email"), F.when(F.col("o_orderkey") % 3 == 0, "").otherwise(F.col("o_orderpriority")).alias("title"), F.col("o_custkey").cast("string").alias("company_id"), F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderstatus")).alias("email_status"), F.col("o_orderkey").alias("seq"))
-    return merge.upsert_leads(None, rows)
+    phone = lambda number: F.array(F.struct(number.alias("number"), F.lit("office").alias("type"))).alias("phones")
+    rows = o.select(
+        F.concat(F.lit("c"), (F.col("o_custkey") % 500).cast("string"), F.lit("@x.com")).alias("work_email"), F.when(F.col("o_orderkey") % 3 == 0, "").otherwise(F.col("o_orderpriority")).alias("title"), F.col("o_custkey").cast("string").alias("company_id"),
+        F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderstatus")).alias("email_status"), phone(F.lpad((F.col("o_orderkey") % 4).cast("string"), 10, "5")), F.col("o_orderkey").alias("seq"),
+    )
+    k = F.col("c_custkey")
+    old = read(spark, d, "customer").filter((k % 3 == 0) & (k < 600)).select(F.concat(F.lit("c"), k.cast("string"), F.lit("@x.com")).alias("work_email"), F.when(k % 2 == 0, "Old").otherwise("").alias("title"), F.lit("c0").alias("company_id"), F.lit("old").alias("email_status"), F.lit("kept").alias("note"), phone(F.lit("5555555559")))
+    out = merge.upsert_leads(old, rows)
+    return out.select("work_email", "title", "company_id", "email_status", "note", F.array_join(F.transform("phones", lambda p: p["number"]), ",").alias("phones"))
 
 
 @query("SELECT o_custkey, o_orderpriority, o_orderkey, o_orderstatus FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY o_orderkey DESC) = 1")
@@ -402,10 +464,13 @@ def _now():
     return F.expr("TIMESTAMP_NTZ '2024-01-25 00:00:00'")
 
 
-@query(WITH + f"SELECT DISTINCT url FROM logs WHERE url NOT IN (SELECT url FROM logs WHERE status_code = 200 AND scraped_at >= {_NOW} - INTERVAL 7 DAY)")
+_LATER = "TIMESTAMP '2024-02-06 00:00:00'"
+
+
+@query(WITH + f"SELECT DISTINCT url FROM logs WHERE url NOT IN (SELECT url FROM logs WHERE status_code = 200 AND scraped_at >= {_LATER} - INTERVAL 7 DAY)")
 def r1_cooldown(spark, d):
     logs = _logs(spark, d)
-    return crawl.due(logs.select("url").distinct(), logs, _now())
+    return crawl.due(logs.select("url").distinct(), logs, F.expr("TIMESTAMP_NTZ '2024-02-06 00:00:00'"))
 
 
 @query(WITH + "SELECT DISTINCT url FROM logs WHERE url NOT IN (SELECT url FROM logs WHERE status_code = 403)")
@@ -423,8 +488,11 @@ def o2_outcomes(spark, d):
 
 @query()
 def o3_o4_o5_crawl(spark, d):
-    parsed = parse_pages(_pages(spark, d)).withColumn("url", U.canonical_url_udf(F.col("url"))).dropDuplicates(["url"])
-    return crawl.crawl(parsed.select("url", F.lit(2).alias("depth")).filter(F.crc32(F.col("url").cast("binary")) % 4 == 0), parsed, 2)
+    """From the first address of every host; of pages with one address the first counts."""
+    pages = _pages(spark, d).withColumn("url", U.canonical_url_udf(F.col("url"))).groupBy("url").agg(F.min_by("html", "page_id").alias("html"))
+    parsed = cut_lineage(parse_pages(pages))
+    seeds = parsed.groupBy(U.domain(F.col("url"))).agg(F.min("url").alias("url")).select("url", F.lit(2).alias("depth"))
+    return crawl.crawl(seeds, parsed, 2)
 
 
 @query(f"SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'import' WHEN page_id % 3 = 1 THEN 'direct' ELSE 'clutch.co' END AS platform FROM pages")
@@ -546,3 +614,90 @@ def a27_names(spark, d):
 @query(WITH + "SELECT leads.id, domain FROM leads JOIN companies ON company_id = companies.id")
 def r3_leads_companies(spark, d):
     return _leads(spark, d).join(_companies(spark, d).select(F.col("id").alias("company_id"), "domain"), "company_id").select("id", "domain")
+
+
+# ---------------------------------------------------------------- sample pages
+
+_COMPANY = ["domain", "name", "website_url", "industry", "company_size", "hq_phone", "linkedin_url", "twitter_url"]
+
+
+def _parsed(spark):
+    return parse_pages(_samples(spark))
+
+
+def _phones(column):
+    return F.array_join(F.transform(column, lambda p: F.concat(p["number"], F.lit(" "), p["type"])), ", ")
+
+
+@query(_values("url, page_type, soft_404, target_website, " + ", ".join(_COMPANY), expected.COMPANIES))
+def x1_x3_x4_sample_companies(spark, d):
+    """X1, X3, X4 with H10, H11, H16, J1-J4, J6, L2, L3, N1, N2, T5."""
+    return _parsed(spark).select("url", "page_type", "soft_404", "target_website", *(F.col(f"company.{c}").alias(c) for c in _COMPANY))
+
+
+@query(_values("url, work_email, first_name, last_name, title, seniority, department, phones, linkedin_url", expected.LEADS))
+def x5_sample_leads(spark, d):
+    """X5 with E1-E8, H12, H13, L1, N3-N5, T2, T3."""
+    rows = _parsed(spark).select("url", F.explode("leads").alias("l")).select("url", "l.*")
+    return rows.withColumn("phones", _phones(F.col("phones")))
+
+
+@query(_values("url, n, first_name, last_name, title, seniority, department, linkedin_url, candidates", expected.PERSONS))
+def x6_sample_persons(spark, d):
+    """X6 with E9, N6-N8."""
+    rows = _parsed(spark).select("url", F.posexplode("persons").alias("n", "p")).select("url", "n", "p.*")
+    return rows.withColumn("candidates", F.array_join("candidate_emails", ", ")).drop("candidate_emails")
+
+
+@query(_values("url, kind, n, link", expected.LINKS))
+def h7_h8_h9_sample_links(spark, d):
+    def named(kind: str):
+        return F.transform(f"{kind}_links", lambda u, n: F.struct(F.lit(kind).alias("kind"), n.alias("n"), u.alias("link")))
+
+    return _parsed(spark).select("url", F.explode(F.concat(*map(named, ("profile", "pagination", "internal")))).alias("l")).select("url", "l.*")
+
+
+@query(_values("url, kind, name, value", expected.FACTS))
+def h14_h15_j5_sample_facts(spark, d):
+    def named(kind: str, column: str):
+        return F.transform(F.map_entries(f"company.{column}"), lambda e: F.struct(F.lit(kind).alias("kind"), e["key"].alias("name"), e["value"].alias("value")))
+
+    return _parsed(spark).select("url", F.explode(F.concat(named("metadata", "extra_metadata"), named("technology", "tech_category_map"))).alias("f")).select("url", "f.*")
+
+
+def _task(spark):
+    """O1 over the sample pages: one address was fetched well lately, one is gone, one blocked, one comes twice."""
+    n = len(samples.PAGES)
+    rows = [(k, u, h, 200, False, "http", 0, 1, None) for k, (u, h) in enumerate(samples.PAGES)]
+    rows[7] = (7, rows[7][1], None, 404, False, "http", 0, 1, None)
+    rows[8] = (8, rows[8][1], None, 403, True, "browser", 1, 1, None)
+    rows.append((n, rows[4][1] + "?utm_source=again", "<p>again</p>", 200, False, "http", 0, 1, None))
+    fetches = spark.createDataFrame(rows, "seq long, url string, html string, status_code int, is_blocked boolean, engine_used string, retries int, depth int, given_platform string")
+    now = F.lit("2024-03-01").cast("timestamp")
+    log = spark.createDataFrame([(rows[9][1], 200, "2024-02-27"), (rows[5][1], 200, "2024-01-01"), (rows[5][1], 500, "2024-02-29")], "url string, status_code int, at string").select("url", "status_code", F.col("at").cast("timestamp").alias("scraped_at"))
+    hosts = ["kestrel-freight.example.com", "larkspur.example.com", "terntide.example.com"]
+    mx = spark.createDataFrame([(h, ["mx." + h], None) for h in hosts], "domain string, mx_records array<string>, lookup_error string")
+    codes = [("ivo.marek@larkspur.example.com", 250, 550), ("press@larkspur.example.com", 550, None), ("sales@larkspur.example.com", 250, 250), ("ruth.mcallister@terntide.example.com", 550, None), ("ruthmcallister@terntide.example.com", 250, 550), ("jo.lind@terntide.example.com", 450, None)]
+    probes = spark.createDataFrame([(e, 1, a, b, None) for e, a, b in codes], "email string, mx_rank int, rcpt_code int, catch_all_probe_code int, error string")
+    cache = spark.createDataFrame([("kestrel-freight.example.com", True)], "domain string, is_catch_all boolean")
+    old = spark.createDataFrame([("company-7", "larkspur.example.com", "Larkspur", "Berlin")], "id string, domain string, name string, industry string")
+    leads = spark.createDataFrame([("ivo.marek@larkspur.example.com", "Ivo", "Intern", "company-0")], "work_email string, first_name string, title string, company_id string")
+    return task.run_task(fetches, log, now, mx, probes, cache, old, leads)
+
+
+@query(_values("seq, outcome, reason, next_attempt_at", expected.OUTCOMES))
+def o1_sample_task_outcomes(spark, d):
+    return _task(spark)["outcomes"].select(F.col("seq").cast("int").alias("seq"), "outcome", "reason", F.col("next_attempt_at").cast("string").alias("next_attempt_at"))
+
+
+@query(_values("work_email, company_domain, first_name, last_name, title, email_status, email_verified, mx_valid, verified_at, source_platform", expected.TASK_LEADS))
+def o1_sample_task_leads(spark, d):
+    """R10 too: leads by their company's id, of which one is from the old snapshot."""
+    made = _task(spark)
+    rows = made["leads"].join(made["companies"].select(F.col("id").alias("company_id"), F.col("domain").alias("company_domain")), "company_id", "left")
+    return rows.select("work_email", "company_domain", "first_name", "last_name", "title", "email_status", "email_verified", "mx_valid", F.col("email_verified_at").cast("date").cast("string").alias("verified_at"), "source_platform")
+
+
+@query(_values("url, depth", expected.FRONTIER))
+def o1_sample_task_frontier(spark, d):
+    return _task(spark)["frontier"]

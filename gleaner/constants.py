@@ -16,17 +16,27 @@ PLACEHOLDER_EMAILS = ["you@work.com", "name@domain.com", "email@example.com", "u
 PLACEHOLDER_LOCALS = ["you", "name", "email", "user", "example", "test"]
 DISPOSABLE_DOMAINS = ["mailinator.com", "tempmail.com", "guerrillamail.com", "10minutemail.com", "trashmail.com", "yopmail.com", "getnada.com", "throwawaymail.com", "sharklasers.com", "dispostable.com", "temp-mail.org", "fakeinbox.com"]
 ROLE_LOCALS = ["info", "contact", "sales", "support", "hello", "admin", "team", "office", "mail", "enquiries", "enquiry", "careers", "jobs", "hr", "marketing", "press", "media", "billing", "accounts", "legal", "privacy", "help", "service", "services", "inquiry", "inquiries", "connect", "hi", "hey", "welcome", "noreply", "no-reply"]
-FIRST_NAMES = (
-    "james john robert michael david william richard joseph thomas charles daniel matthew anthony mark paul steven andrew joshua kevin brian george edward ryan jacob nicholas eric jonathan justin brandon adam nathan peter luke alex alexander ben benjamin sam samuel tom joe chris christopher max leo henry jack oliver harry charlie jake callum "
-    "mary patricia jennifer linda elizabeth barbara susan jessica sarah karen nancy lisa margaret betty sandra ashley dorothy kimberly emily michelle amanda stephanie carol laura rebecca sharon anna emma olivia ava mia sophia isabella charlotte amelia grace chloe zoe lily hannah ella scarlett maria "
-    "fatima aisha amina zainab priya anita pooja rahul arjun raj vikram sanjay deepak amit rohit ali ahmed omar hassan hussain muhammad usman bilal hamza farhan imran sara carlos juan luis diego sofia lucas mateo leon felix oscar hugo liam noah ethan mason logan evelyn harper"
-).split()
+FIRST_NAMES = [
+    "james", "john", "robert", "michael", "david", "william", "richard", "joseph", "thomas", "charles", "daniel", "matthew", "anthony", "mark", "paul", "steven",
+    "andrew", "joshua", "kevin", "brian", "george", "edward", "ryan", "jacob", "nicholas", "eric", "jonathan", "justin", "brandon", "adam", "nathan", "peter",
+    "luke", "alex", "alexander", "ben", "benjamin", "sam", "samuel", "tom", "joe", "chris", "christopher", "max", "leo", "henry", "jack", "oliver",
+    "harry", "charlie", "jake", "callum", "mary", "patricia", "jennifer", "linda", "elizabeth", "barbara", "susan", "jessica", "sarah", "karen", "nancy", "lisa",
+    "margaret", "betty", "sandra", "ashley", "dorothy", "kimberly", "emily", "michelle", "amanda", "stephanie", "carol", "laura", "rebecca", "sharon", "anna", "emma",
+    "olivia", "ava", "mia", "sophia", "isabella", "charlotte", "amelia", "grace", "chloe", "zoe", "lily", "hannah", "ella", "scarlett", "maria", "fatima",
+    "aisha", "amina", "zainab", "priya", "anita", "pooja", "rahul", "arjun", "raj", "vikram", "sanjay", "deepak", "amit", "rohit", "ali", "ahmed",
+    "omar", "hassan", "hussain", "muhammad", "usman", "bilal", "hamza", "farhan", "imran", "sara", "carlos", "juan", "luis", "diego", "sofia", "lucas",
+    "mateo", "leon", "felix", "oscar", "hugo", "liam", "noah", "ethan", "mason", "logan", "evelyn", "harper",
+]
 
 # People.
 TITLE = r"\b(?:chief\s+(?:executive|technology|operating|financial|marketing|revenue)\s+officer|ceo|cto|coo|cfo|cmo|founder|co-?founder|president|vice\s+president|vp|director|manager|partner|owner|head\s+of\s+[a-z ]+)\b"
 SENIORITY = [("c_level", r"chief|c[eoifoatm]o\b|founder|president|owner|partner|managing\s+director"), ("vp", r"\bvp\b|vice\s+president"), ("director", r"director|head\s+of"), ("manager", r"manager|lead\b|supervisor")]
 DEPARTMENTS = [("engineer", "Engineering"), ("developer", "Engineering"), ("tech", "Engineering"), ("product", "Product"), ("design", "Design"), ("data", "Data"), ("sales", "Sales"), ("revenue", "Sales"), ("marketing", "Marketing"), ("growth", "Marketing"), ("finance", "Finance"), ("accounting", "Finance"), ("hr", "HR"), ("human resources", "HR"), ("people", "HR"), ("operations", "Operations"), ("support", "Support"), ("legal", "Legal")]
-NAME_STOPWORDS = "our team about contact leadership management company the and meet join work careers services service home blog get started learn more privacy terms why how what who we are us your their his her all view read story stories values mission vision news press faq".split()
+NAME_STOPWORDS = [
+    "our", "team", "about", "contact", "leadership", "management", "company", "the", "and", "meet", "join", "work", "careers", "services", "service", "home",
+    "blog", "get", "started", "learn", "more", "privacy", "terms", "why", "how", "what", "who", "we", "are", "us", "your", "their",
+    "his", "her", "all", "view", "read", "story", "stories", "values", "mission", "vision", "news", "press", "faq",
+]
 
 # Pages.
 SOFT_404_STRONG = r"(?i)\b404\b|page not found"

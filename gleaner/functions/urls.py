@@ -184,6 +184,28 @@ def canonical(url: Column) -> Column:
     return F.when(host == "", "").otherwise(made)
 
 
+def resolved(base: Column, href: Column) -> Column:
+    """F5 without Python: the absolute address of a link on the page ``base``, which has a scheme."""
+    origin, plain = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1), F.regexp_extract(href, r"^([^?#]*)", 1)
+    tail = F.substring(href, F.length(plain) + 1, F.length(href))
+    folder = F.regexp_extract(path(base), r"^(.*/)", 1)
+    return (
+        F.when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), href)
+        .when(href.startswith("//"), F.concat(F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*:)", 1), href))
+        .when(href.startswith("/"), F.concat(origin, _without_dots(plain), tail))
+        .when(plain == "", F.concat(origin, path(base), href))
+        .otherwise(F.concat(origin, _without_dots(F.concat(F.when(folder == "", "/").otherwise(folder), plain)), tail))
+    )
+
+
+def _without_dots(p: Column) -> Column:
+    """A path without . and .. segments."""
+    step = lambda made, x: F.when(x == ".", made).when(x == "..", F.regexp_replace(made, "/[^/]*$", "")).otherwise(F.concat(made, F.lit("/"), x))
+    folded = F.aggregate(F.split(F.substring(p, F.lit(2), F.length(p)), "/"), F.lit(""), step)
+    ended = F.when(p.rlike(r"/\.\.?$"), F.concat(folded, F.lit("/"))).otherwise(folded)
+    return F.when(p.contains("/."), F.when(ended == "", "/").otherwise(ended)).otherwise(p)
+
+
 def classify(url: Column, directories: dict | None = None) -> Column:
     """page type by a CASE over the configured directories."""
     host, p, out = domain(url), F.lower(path(url)), F.lit(None).cast("string")

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from gleaner.functions import urls as U
 
 COOLDOWN_DAYS, MOST_LINKS = 7, 15
+#: Microseconds.
+HOUR = 3_600_000_000
 
 
 def due(urls: DataFrame, log: DataFrame, now: Column, days: int = COOLDOWN_DAYS) -> DataFrame:
@@ -49,6 +51,16 @@ def platform(given: Column, url: Column) -> Column:
     return F.coalesce(given, F.when(U.classify(url) != U.SITE, U.domain(url)).otherwise("direct"))
 
 
+def start_depth(depth: Column, recursive: Column) -> Column:
+    """A recursive task that gives no depth starts with one."""
+    return F.when(recursive & (depth == 0), 1).otherwise(depth)
+
+
+def with_scheme(url: Column) -> Column:
+    """An address without a scheme is a secure one."""
+    return F.when(url.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), url).otherwise(F.concat(F.lit("https://"), url))
+
+
 def engine_preference(log: DataFrame, now: Column, days: int = 7) -> DataFrame:
     """The engine of each domain's last success in ``days`` days."""
     ok = log.filter((F.col("status_code") == 200) & (F.col("scraped_at") >= now - F.make_interval(days=F.lit(days))))
@@ -56,9 +68,19 @@ def engine_preference(log: DataFrame, now: Column, days: int = 7) -> DataFrame:
 
 
 def rate_violations(log: DataFrame, seconds: float = 3.0) -> DataFrame:
-    """Fetches of a domain that came too soon after the one before."""
-    gap = F.expr("(unix_micros(cast(scraped_at as timestamp)) - lag(unix_micros(cast(scraped_at as timestamp))) over (partition by domain order by scraped_at, url)) / 1e6D")
-    return log.withColumn("gap", gap).filter(F.col("gap") < seconds)
+    """Fetches of a domain that came too soon after the one before.
+
+    A domain may have any share of the log, so its fetches are dealt out by hour.  The last fetch of every hour
+    (one row) goes to the domain's next hour with fetches too.
+    """
+    at = F.unix_micros(F.col("scraped_at").cast("timestamp"))
+    rows = log.withColumns({"_at": at, "_hour": F.floor(at / HOUR).cast("long")})
+    last = rows.groupBy("domain", "_hour").agg(F.max("_at").alias("_at"))
+    before = last.withColumn("_before", F.expr("lag(_at) over (partition by domain order by _hour)")).select(F.col("domain").alias("_domain"), F.col("_hour").alias("_of"), "_before")
+    rows = rows.withColumn("_lag", F.expr("lag(_at) over (partition by domain, _hour order by _at, url)"))
+    rows = rows.join(before, rows["domain"].eqNullSafe(before["_domain"]) & (rows["_hour"] == before["_of"]))
+    gap = (F.col("_at") - F.coalesce("_lag", "_before")) / 1e6
+    return rows.withColumn("gap", gap).filter(F.col("gap") < seconds).drop("_at", "_hour", "_domain", "_of", "_before", "_lag")
 
 
 def children(parsed: DataFrame, most: int = MOST_LINKS) -> DataFrame:

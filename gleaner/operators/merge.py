@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from gleaner import constants as K
 from gleaner.functions.people import merged_phones
 
-COMPANY_FIELDS = ["name", "industry", "company_size", "website_url", "hq_phone", "linkedin_url", "twitter_url"]
 LEAD_SOFT = ["first_name", "last_name", "title", "seniority", "department", "linkedin_url", "source_platform"]
 LEAD_HARD = ["company_id", "email_status", "email_verified", "mx_valid", "disposable_flag"]
 
@@ -35,14 +34,19 @@ def merged_maps(rows: DataFrame, key: str, column: str, seq: str) -> DataFrame:
 def upsert_companies(old: DataFrame | None, batch: DataFrame, seq: str = "seq") -> tuple[DataFrame, DataFrame]:
     """Companies by domain, a new value replaces an old one unless it is null; metadata entries merge.
 
-    Returns the snapshot and the rejected rows: a directory's own domain is no company.
+    An id that a company has stays; a new one follows from its domain.  Any other column of the old snapshot or
+    of the batch is kept too, the last known value of it.  Returns the snapshot and the rejected rows: a
+    directory's own domain is no company.
     """
     bad = F.col("domain").isNull() | F.col("domain").isin(list(K.DIRECTORIES))
     rows = _stacked(old, batch.filter(~bad), seq).withColumn(seq, F.coalesce(seq, F.lit(-1).cast("long")))
-    out = rows.groupBy("domain").agg(*(_last(c, seq, F.col(c).isNotNull()) for c in COMPANY_FIELDS if c in rows.columns))
-    if "extra_metadata" in rows.columns:
-        out = out.join(merged_maps(rows, "domain", "extra_metadata", seq), "domain", "left")
-    return out.withColumn("id", F.sha2(F.col("domain"), 256)), batch.filter(bad)
+    maps = [c for c, kind in rows.dtypes if kind.startswith("map")]
+    plain = [c for c in rows.columns if c not in ("domain", "id", seq, *maps)]
+    out = rows.groupBy("domain").agg(*(_last(c, seq, F.col(c).isNotNull()) for c in plain), *([F.min_by(F.when(F.col("id").isNotNull(), F.col("id")), F.when(F.col("id").isNotNull(), F.col(seq))).alias("id")] if "id" in rows.columns else []))
+    for column in maps:
+        out = out.join(merged_maps(rows, "domain", column, seq), "domain", "left")
+    own = F.sha2(F.col("domain"), 256)
+    return out.withColumn("id", F.coalesce("id", own) if "id" in rows.columns else own), batch.filter(bad)
 
 
 def insert_technologies(old: DataFrame | None, batch: DataFrame, seq: str = "seq") -> DataFrame:
@@ -54,12 +58,18 @@ def insert_technologies(old: DataFrame | None, batch: DataFrame, seq: str = "seq
 
 
 def upsert_leads(old: DataFrame | None, batch: DataFrame, seq: str = "seq") -> DataFrame:
-    """Leads by e-mail: some fields only if they say something, some always, phones merged (first five), verified_at if known."""
+    """Leads by e-mail: some fields only if they say something, some always, phones merged (first five), verified_at if known.
+
+    A lead's first row is taken as it is, so a field that never says anything has what it had there.  Any other
+    column is kept too, the last known value of it.
+    """
     rows = _stacked(old, batch, seq).withColumn(seq, F.coalesce(seq, F.lit(-1).cast("long")))
-    soft = [_last(c, seq, F.coalesce(F.col(c), F.lit("")) != "") for c in LEAD_SOFT if c in rows.columns]
+    first = lambda c: F.min_by(F.struct(F.col(c).alias("v")), seq)["v"]
+    soft = [F.coalesce(_last(c, seq, F.coalesce(F.col(c), F.lit("")) != ""), first(c)).alias(c) for c in LEAD_SOFT if c in rows.columns]
+    others = [_last(c, seq, F.col(c).isNotNull()) for c in rows.columns if c not in ("work_email", seq, "phones", "email_verified_at", *LEAD_SOFT, *LEAD_HARD)]
     hard = [_last(c, seq) for c in LEAD_HARD if c in rows.columns]
     known = [_last("email_verified_at", seq, F.col("email_verified_at").isNotNull())] if "email_verified_at" in rows.columns else []
-    out = rows.groupBy("work_email").agg(*soft, *hard, *known)
+    out = rows.groupBy("work_email").agg(*soft, *hard, *known, *others)
     if "phones" in rows.columns:
         each = rows.select("work_email", seq, F.posexplode("phones").alias("pos", "phone"))
         each = each.withColumn("key", F.regexp_replace("phone.number", r"\D", "")).filter(F.length("key") >= 10)
