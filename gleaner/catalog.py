@@ -424,20 +424,24 @@ def _verdict_inputs(spark, d):
     return _leads(spark, d).select(F.col("work_email").alias("email")), mx, probe, cache
 
 
-@query(
-    WITH
-    + f"""SELECT email, CASE WHEN NOT regexp_matches(email, '^{K.EMAIL}$') THEN 'invalid' WHEN n IS NULL OR n % 6 = 0 THEN 'invalid' WHEN k % 11 = 0 OR k % 10 = 9 THEN 'unverified'
- WHEN k % 4 = 0 THEN 'invalid' WHEN k % 4 = 1 THEN 'unverified' WHEN n % 9 = 2 THEN CASE WHEN n % 2 = 0 THEN 'catch_all' ELSE 'verified' END WHEN k % 8 > 4 THEN 'verified' WHEN k % 8 > 2 THEN 'catch_all' ELSE 'unverified' END AS status
- FROM (SELECT work_email AS email, CAST(leads.id AS INT) AS k, CAST(c.id AS INT) AS n FROM leads LEFT JOIN companies c ON c.domain = lower(split_part(work_email, '@', -1)))"""
-)
+_STATUS = f"""CASE WHEN NOT regexp_matches(email, '^{K.EMAIL}$') THEN 'invalid' WHEN n IS NULL OR n % 6 = 0 THEN 'invalid' WHEN k % 11 = 0 OR k % 10 = 9 THEN 'unverified'
+ WHEN k % 4 = 0 THEN 'invalid' WHEN k % 4 = 1 THEN 'unverified' WHEN n % 9 = 2 THEN CASE WHEN n % 2 = 0 THEN 'catch_all' ELSE 'verified' END WHEN k % 8 > 4 THEN 'verified' WHEN k % 8 > 2 THEN 'catch_all' ELSE 'unverified' END"""
+_ASKED = "FROM (SELECT leads.id, work_email AS email, CAST(leads.id AS INT) AS k, CAST(c.id AS INT) AS n FROM leads LEFT JOIN companies c ON c.domain = lower(split_part(work_email, '@', -1)))"
+
+
+@query(WITH + f"SELECT email, {_STATUS} AS status {_ASKED}")
 def e12_e13_e14_verdicts(spark, d):
     return verify.verify(*_verdict_inputs(spark, d)).select("email", "status")
 
 
-@query()
+@query(
+    WITH
+    + f"""SELECT id, status AS email_status, status = 'verified' AS email_verified, mx AS mx_valid, CASE WHEN mx AND k % 11 > 0 AND regexp_matches(email, '^{K.EMAIL}$') THEN '2024-02-01 00:00:00' END AS email_verified_at, 'direct' AS source_platform
+ FROM (SELECT *, {_STATUS} AS status, coalesce(n % 6 <> 0, FALSE) AS mx {_ASKED})"""
+)
 def e15_apply_verdicts(spark, d):
     leads = _leads(spark, d)
-    return verify.apply_verdicts(leads, verify.verify(*_verdict_inputs(spark, d)), F.lit("2024-02-01").cast("timestamp"), "direct").select("id", "email_status", "email_verified", "mx_valid", "email_verified_at", "source_platform")
+    return verify.apply_verdicts(leads, verify.verify(*_verdict_inputs(spark, d)), F.lit("2024-02-01").cast("timestamp"), "direct").select("id", "email_status", "email_verified", "mx_valid", F.col("email_verified_at").cast("string").alias("email_verified_at"), "source_platform")
 
 
 @query()
