@@ -133,6 +133,16 @@ def undeltas(d: np.ndarray) -> np.ndarray:
 # ---------------------------------------------------------------- blocks
 
 
+def dealt(docs: DataFrame) -> DataFrame:
+    """``docs`` over all cores if it is one file that makes one partition.
+
+    Only then, as the rows of one partition are dealt out alike whenever that is done again; many partitions stay
+    where they are.
+    """
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    return docs.repartition(cores) if cores > 1 and len(docs.inputFiles()) == 1 and docs.rdd.getNumPartitions() == 1 else docs
+
+
 def blocks(docs: DataFrame, weight: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per block: its name and its rows as an Arrow stream.  A row is never split."""
 
@@ -159,7 +169,7 @@ def blocks(docs: DataFrame, weight: str = "text", block_bytes: int = BLOCK_BYTES
             yield out()
 
     ship(docs.sparkSession)
-    return docs.mapInArrow(cut, BLOCK_SCHEMA)
+    return dealt(docs).mapInArrow(cut, BLOCK_SCHEMA)
 
 
 def to_ipc(table: pa.Table) -> bytes:

@@ -38,7 +38,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.blocks import _U, cut_lineage, mix, release, tokens, window_hashes, word_hashes
+from gleaner.llm.blocks import _U, cut_lineage, dealt, mix, release, tokens, window_hashes, word_hashes
 from gleaner.session import ship
 
 WINDOW, COVERAGE = 8, 0.5
@@ -337,7 +337,7 @@ def _found(rows: DataFrame, benchmark: DataFrame, least: int) -> DataFrame:
 def _placed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``docs`` with columns _c0, _c1, ... and _row, and its _row, doc_id and text."""
     names = docs.columns
-    placed = docs.toDF(*(f"_c{i}" for i in range(len(names)))).withColumn("_row", F.monotonically_increasing_id())
+    placed = dealt(docs.toDF(*(f"_c{i}" for i in range(len(names))))).withColumn("_row", F.monotonically_increasing_id())
     return placed, placed.select("_row", F.col(f"_c{names.index('doc_id')}").cast("long").alias("doc_id"), F.col(f"_c{names.index('text')}").cast("string").alias("text"))
 
 

@@ -22,6 +22,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gleaner.llm.blocks import dealt
+
 #: Bins (a multiple of 16) and bits kept of each: 128 * 4 bits = 64 bytes, 128 hex digits.
 BINS, BITS, WIDTH = 128, 4, 5
 #: Probes unrolled before an empty bin ranks all bins that hold something, which gives the same law.
@@ -142,7 +144,7 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
 
     doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
     """
-    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"], F.lit("")).alias("text"))
+    rows = dealt(docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"], F.lit("")).alias("text")))
     rows = rows.withColumn("print", fingerprint(F.col("text")))
     rows = with_next(rows, "doc_id", ["text", "print"])
     n = F.char_length("text")

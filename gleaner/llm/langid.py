@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
-from gleaner.llm.blocks import cut_lineage
+from gleaner.llm.blocks import cut_lineage, dealt
 from gleaner.session import ship
 
 DIMENSIONS, CENTROIDS, PER_LANGUAGE = 4096, 4, 400
@@ -205,7 +205,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     """The columns of ``docs``, named _c0, _c1 and so on, with _lang, _score and _rejected."""
     ship(docs.sparkSession)
     names = docs.columns
-    rows = docs.toDF(*(f"_c{i}" for i in range(len(names))))
+    rows = dealt(docs.toDF(*(f"_c{i}" for i in range(len(names)))))
     at = names.index("text")
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of at most MODEL_BYTES
 

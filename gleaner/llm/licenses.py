@@ -20,6 +20,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gleaner.llm.blocks import dealt
+
 MOST_KNOWN = 10_000
 
 #: Lines that state a copyright and nothing else.
@@ -157,7 +159,7 @@ def scan_licenses(docs: DataFrame, more: list[tuple[str, str]] | None = None) ->
     spark = docs.sparkSession
     table = spark.createDataFrame(known, "known string, license_id string")
     lookup = F.create_map(*(F.lit(x) for pair in sorted(notice_ids().items()) for x in pair))
-    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
+    rows = dealt(docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")))
     spread = F.concat(F.lit(" "), F.replace(canonical(F.col("text"), lines=False), F.lit(" "), F.lit("  ")), F.lit(" "))
     pattern = F.lit(notice_pattern())
     ids = F.concat(*(F.regexp_extract_all(spread, pattern, F.lit(group)) for group in (1, 2)))

@@ -34,7 +34,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
-from gleaner.llm.blocks import release
+from gleaner.llm.blocks import dealt, release
 from gleaner.session import ship
 
 MARK = "▁"
@@ -304,7 +304,7 @@ def encode_documents(docs: DataFrame, path: str, into: str = "piece_ids") -> Dat
     ship(docs.sparkSession)
     docs = docs.drop(into)
     names, at = docs.columns, docs.columns.index("text")
-    rows = docs.toDF(*(f"_c{i}" for i in range(len(names))))
+    rows = dealt(docs.toDF(*(f"_c{i}" for i in range(len(names)))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _steps(batches, at):
@@ -343,7 +343,7 @@ def decode_documents(encoded: DataFrame, path: str, ids: str = "piece_ids", into
 def digests(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_pieces, ids_sha256 (ids as little-endian 32-bit numbers), decoded_sha256, round_trip of every document."""
     ship(docs.sparkSession)
-    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
+    rows = dealt(docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _steps(batches, 1):

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from gleaner.llm.blocks import cut_lineage, parts_for
+from gleaner.llm.blocks import cut_lineage, dealt, parts_for
 from gleaner.llm.graph import components
 from gleaner.session import ship
 
@@ -59,7 +59,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """``docs`` with a column ``_print``, of which it has none: the fingerprint as a signed long."""
     ship(docs.sparkSession)
     names = docs.columns
-    rows = docs.toDF(*(f"_c{i}" for i in range(len(names))))
+    rows = dealt(docs.toDF(*(f"_c{i}" for i in range(len(names)))))
     at = names.index("text")
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

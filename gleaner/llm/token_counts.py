@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
-from gleaner.llm.blocks import BLOCK_BYTES, Questions, answered, cuts_of, fan, pack, parts_for, release, unpack
+from gleaner.llm.blocks import BLOCK_BYTES, Questions, answered, cuts_of, dealt, fan, pack, parts_for, release, unpack
 from gleaner.session import ship
 
 #: Pre-tokens beyond this length go to the library through their own call.
@@ -180,7 +180,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 512) -> DataFrame:
         tokens = np.bincount(doc, counts[sums - before[doc]] * freq, len(n)).astype(np.int64) + specials
         return pa.table({"doc_id": pa.array(ids, pa.int64(), mask=null.astype(bool)), "n_bytes": sizes, "n_tokens": tokens, "over_limit": tokens > limit})
 
-    sent = rows.mapInArrow(frequencies, "part int, block string, body binary")
+    sent = dealt(rows).mapInArrow(frequencies, "part int, block string, body binary")
     return answered(sent, Questions(reduce, _united, _dealt), parts).groupBy("block").applyInArrow(total, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
 
 
