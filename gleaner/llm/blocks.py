@@ -136,8 +136,8 @@ def undeltas(d: np.ndarray) -> np.ndarray:
 def dealt(docs: DataFrame) -> DataFrame:
     """``docs`` over all cores if it is one file that makes one partition.
 
-    Only then, as the rows of one partition are dealt out alike whenever that is done again; many partitions stay
-    where they are.
+    Only then, as the rows of one partition are dealt out alike whenever that is done again with the same columns;
+    many partitions stay where they are.  Rows that are told apart by place get their numbers before this.
     """
     cores = docs.sparkSession.sparkContext.defaultParallelism
     return docs.repartition(cores) if cores > 1 and len(docs.inputFiles()) == 1 and docs.rdd.getNumPartitions() == 1 else docs

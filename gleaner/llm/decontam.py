@@ -314,7 +314,7 @@ def _found(rows: DataFrame, benchmark: DataFrame, least: int) -> DataFrame:
                 found = np.unique(np.concatenate(made), axis=0)
                 yield pa.RecordBatch.from_pydict({"_row": part.column("_row").take(pa.array(found[:, 0].astype(np.int64))), "h": pa.array(np.ascontiguousarray(found[:, 1]).view(np.int64))})
 
-    asked = rows.select("_row", "text").mapInArrow(likely, "_row long, h long")
+    asked = dealt(rows.select("_row", "text")).mapInArrow(likely, "_row long, h long")
     pairs = asked.join(windows.select("h", "item", "n", "need"), "h").groupBy("_row", "item").agg(F.sum("n").alias("n"), F.first("need").alias("need")).filter("n >= need").select("_row", "item")
     both = rows.join(pairs, "_row").join(items, "item").select("_row", "doc_id", "text", "item", "item_id", "item_text")
 
@@ -337,7 +337,7 @@ def _found(rows: DataFrame, benchmark: DataFrame, least: int) -> DataFrame:
 def _placed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``docs`` with columns _c0, _c1, ... and _row, and its _row, doc_id and text."""
     names = docs.columns
-    placed = dealt(docs.toDF(*(f"_c{i}" for i in range(len(names))))).withColumn("_row", F.monotonically_increasing_id())
+    placed = docs.toDF(*(f"_c{i}" for i in range(len(names)))).withColumn("_row", F.monotonically_increasing_id())
     return placed, placed.select("_row", F.col(f"_c{names.index('doc_id')}").cast("long").alias("doc_id"), F.col(f"_c{names.index('text')}").cast("string").alias("text"))
 
 

@@ -55,7 +55,7 @@ def shingle_hashes(text: Column) -> Column:
         n = F.size(h)
         two = both(F.slice(h, 1, n - 1), F.slice(h, 2, n - 1))
         four = _let(two, lambda t: both(F.slice(t, 1, n - 3), F.slice(t, 3, n - 3)))
-        return both(four, F.slice(h, WIDTH, n - 4))
+        return both(F.slice(four, F.lit(1), n - 4), F.slice(h, F.lit(WIDTH), n - 4))
 
     return _let(words, lambda w: F.when(F.size(w) < WIDTH, F.array(F.xxhash64(F.array_join(w, " ")))).otherwise(_let(F.transform(w, lambda x: F.xxhash64(x)), fives)))
 
