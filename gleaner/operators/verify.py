@@ -16,6 +16,30 @@ VERIFIED, CATCH_ALL, UNVERIFIED, INVALID, DISPOSABLE = "verified", "catch_all",
 MOST_HOSTS, MOST_PERSONS, MOST_CANDIDATES = 2, 10, 3
 
 
+#: Hours that an answer about mail servers holds, and that a domain rests after none of its servers could be reached.
+MX_HOURS, REST_HOURS = 24, 1
+
+
+def current_mx(observed: DataFrame, now: Column) -> DataFrame:
+    """mx_lookup(domain, mx_records, lookup_error) from what was observed (those columns and observed_at).
+
+    A domain's latest answer of the last MX_HOURS counts; that there are no servers is an answer, an outage isn't.
+    """
+    fresh = observed.filter(F.col("lookup_error").isNull() & (F.col("observed_at") > now - F.make_interval(hours=F.lit(MX_HOURS))) & (F.col("observed_at") <= now))
+    plain = F.transform(F.coalesce("mx_records", F.array().cast("array<string>")), lambda h: F.regexp_replace(h, r"\.+$", ""))
+    rows = fresh.select(F.lower(F.trim("domain")).alias("domain"), plain.alias("mx_records"), "observed_at")
+    return rows.groupBy("domain").agg(F.max_by("mx_records", F.struct("observed_at", "mx_records")).alias("mx_records")).withColumn("lookup_error", F.lit(None).cast("string"))
+
+
+def resting(probes: DataFrame, now: Column) -> DataFrame:
+    """Domains that aren't to be asked now, as an e-mail of theirs found none of the first servers in the last hour.
+
+    probes: those of ``verify`` with observed_at.
+    """
+    late = probes.filter((F.col("observed_at") > now - F.make_interval(hours=F.lit(REST_HOURS))) & (F.col("observed_at") <= now) & (F.col("mx_rank") <= MOST_HOSTS))
+    return late.groupBy("email").agg(F.bool_and(F.col("error").isNotNull()).alias("failed")).filter("failed").select(E.host_of(F.lower(F.trim("email"))).alias("domain")).distinct()
+
+
 def preflight(email: Column, mx_records: Column) -> Column:
     """A verdict without asking a server, or null."""
     return F.when(~E.valid_syntax(email), INVALID).when(E.disposable(email), DISPOSABLE).when(F.coalesce(F.array_size(mx_records), F.lit(0)) == 0, INVALID)

@@ -54,6 +54,27 @@ def overall(metrics: DataFrame) -> DataFrame:
     return metrics.agg(F.when(F.count_if(F.col("verdict") == "FAIL") > 0, "FAIL").otherwise("PASS").alias("verdict"))
 
 
+def formatted(metrics: DataFrame) -> tuple[str, int]:
+    """The metrics as a table of text, and the exit code: 1 if one fails.  There are as many rows as metrics."""
+    rows = metrics.collect()
+    width = max([len(r.metric) for r in rows], default=0)
+    lines = [f"{r.metric.ljust(width)}  {'-' if r.value is None else f'{r.value:.2f}':>10}  {r.verdict}" for r in rows]
+    code = int(any(r.verdict == "FAIL" for r in rows))
+    return "\n".join([*lines, f"{'overall'.ljust(width)}  {'':>10}  {'FAIL' if code else 'PASS'}"]), code
+
+
+def main(folder: str) -> int:
+    """Prints the report over the relations leads, companies and logs in ``folder``."""
+    from pyspark.sql import SparkSession
+
+    from gleaner.sources.tables import read
+
+    spark = SparkSession.builder.getOrCreate()
+    text, code = formatted(quality(*(read(spark, folder, name) for name in ("leads", "companies", "logs"))))
+    print(text)
+    return code
+
+
 def counts(**tables: DataFrame) -> DataFrame:
     """A1, A26."""
     return reduce(DataFrame.unionByName, (t.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("relation"), "n") for name, t in tables.items()))
@@ -107,3 +128,9 @@ def lead_list(leads: DataFrame) -> DataFrame:
 def stream_progress(queries: list) -> list[dict]:
     """Depth and rate of running streams."""
     return [{"name": q.name, "active": q.isActive, "progress": q.lastProgress} for q in queries]
+
+
+if __name__ == "__main__":
+    import sys
+
+    sys.exit(main(sys.argv[1]))

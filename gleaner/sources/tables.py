@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import json
 import logging
+from dataclasses import dataclass, fields
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner import constants as K
+from gleaner.functions import web
 
 log = logging.getLogger(__name__)
 
@@ -39,6 +41,41 @@ def setting_list(spark: SparkSession, name: str, default: list[str]) -> list[str
     return default if value is None else [v.strip() for v in value.split(",") if v.strip()]
 
 
+@dataclass(frozen=True)
+class Settings:
+    """What a deployment sets, as ``spark.gleaner.<name>``; lists are comma-separated."""
+
+    directory_domains: tuple[str, ...] = tuple(K.DIRECTORIES)
+    blocked_paths: tuple[str, ...] = tuple(K.BLOCKED_PATHS)
+    ignored_params: tuple[str, ...] = tuple(K.IGNORED_PARAMS)
+    cooldown_days: int = 7
+    rate_seconds: float = 3.0
+    most_links: int = 15
+
+    @classmethod
+    def of(cls, spark: SparkSession) -> Settings:
+        given = {}
+        for f in fields(cls):
+            if isinstance(f.default, tuple):
+                given[f.name] = tuple(setting_list(spark, f.name, list(f.default)))
+            elif (value := spark.conf.get(f"spark.gleaner.{f.name}", None)) is not None:
+                given[f.name] = type(f.default)(value)
+        return cls(**given)
+
+
+def find_one(rows: DataFrame, **key: object) -> DataFrame:
+    """The row of a key, or none; of several the smallest by all columns that can be ordered."""
+    for column, value in key.items():
+        rows = rows.filter(F.col(column).eqNullSafe(F.lit(value)))
+    return rows.orderBy(*(c for c, kind in rows.dtypes if not kind.startswith("map"))).limit(1)
+
+
+def dump_pages(pages: DataFrame, path: str) -> None:
+    """Raw HTML under the dump's file names, by day.  Rows of a table, not files: one for each page would be too many."""
+    rows = pages.filter(F.coalesce(F.col("html"), F.lit("")) != "").select(web.dump_name(F.col("url")).alias("file"), "url", "html", F.to_date("fetched_at").alias("day"))
+    rows.write.mode("append").partitionBy("day").parquet(path)
+
+
 def append_log(rows: DataFrame, path: str) -> None:
     """An append-only log, by day."""
     rows.withColumn("day", F.to_date("scraped_at")).write.mode("append").partitionBy("day").parquet(path)

@@ -16,9 +16,15 @@ def claimed(stream: DataFrame, at: str = "found_at", ttl: str = "24 hours") -> D
     return stream.withColumn("url", U.canonical_url_udf(F.col("url"))).filter("url <> ''").withWatermark(at, ttl).dropDuplicatesWithinWatermark(["session_id", "url"])
 
 
+def last_success(log: DataFrame, before: DataFrame | None = None) -> DataFrame:
+    """(url, last_ok) of a log, merged with such a table from before; a job that appends to the log keeps it."""
+    rows = log.filter("status_code = 200").select("url", F.col("scraped_at").alias("last_ok"))
+    return (rows if before is None else rows.unionByName(before)).groupBy("url").agg(F.max("last_ok").alias("last_ok"))
+
+
 def due_stream(stream: DataFrame, log: DataFrame, at: str = "found_at", days: int = 7) -> DataFrame:
-    """R1 as a stream against the log's last successes."""
-    last = log.filter("status_code = 200").groupBy("url").agg(F.max("scraped_at").alias("last_ok"))
+    """R1 as a stream against the log's last successes: a log, which every micro-batch aggregates anew, or a table of ``last_success``, which is only joined."""
+    last = log if "last_ok" in log.columns else last_success(log)
     rows = stream.join(last, "url", "left")
     return rows.filter(F.col("last_ok").isNull() | (F.col("last_ok") < F.col(at) - F.make_interval(days=F.lit(days)))).drop("last_ok")
 
