@@ -7,29 +7,35 @@ something, so two documents borrow alike exactly as often as their sets are alik
 independent 2-universal probes).  The lowest ``BITS`` bits of each bin's hash are kept, packed.  Two
 different minima agree in those bits with probability 1 / 2**BITS, which ``likeness`` corrects for.
 
-All work on a text happens in its own row, in the JVM; nothing is exploded or shuffled.
+All work on a text happens in its own row, in the JVM; nothing is exploded.
+
+The next document is found by ids alone: rows are ordered by (doc_id, a hash of the text, their place) in ranges
+of that whole key, so neither a repeated id nor a large table makes a range grow.  Only then does each text's
+beginning travel to the document before it.
 
 Defined cases: words are ``[^\\x20\\x09-\\x0D]+``, unchanged; fewer than five words: the whole
 sequence is the only shingle; no word or a null text: the hash of the empty sequence, so empty texts
 are like each other and unlike all others.  Equal texts have equal fingerprints.  Documents follow
-each other by doc_id, nulls first, then by text.
+each other by doc_id, nulls first, then by a hash of the text; rows equal in both are alike, and follow each
+other.  Very long texts are read whole; an empty table gives an empty result; other columns are ignored,
+whatever their names.  ``docs`` must be a deterministic plan.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleaner.llm.blocks import dealt
+from gleaner.llm.blocks import cut_lineage, dealt
 
 #: Bins (a multiple of 16) and bits kept of each: 128 * 4 bits = 64 bytes, 128 hex digits.
 BINS, BITS, WIDTH = 128, 4, 5
 #: Probes unrolled before an empty bin ranks all bins that hold something, which gives the same law.
 PROBES = 6
-#: Rows aimed at in a range of doc_ids, and the most ranges (their bounds go through the driver).
-RANGE_ROWS, MOST_RANGES = 2048, 16_384
+#: Rows aimed at in a range of the order.
+RANGE_ROWS = 200_000
 
 _SPACE = r"[\x20\x09-\x0D]+"
 
@@ -113,26 +119,18 @@ def likeness(a: Column, b: Column, bins: int = BINS, bits: int = BITS) -> Column
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), (agree - chance) / (1.0 - chance)))
 
 
-def with_next(df: DataFrame, key: str, carry: list[str]) -> DataFrame:
-    """Adds next_<c> for each c in ``carry``: its value in the next row by ``key`` (after the last, the first).
-
-    Rows meet in ranges of the key.  The bounds are keys that exist, so the rows that open a range
-    are known by their key alone and are also sent, once, to the range before it.
-    """
-    total, nulls, low = df.select(F.count(F.lit(1)), F.count_if(F.col(key).isNull()), F.min(key)).first()
-    ranges = int(min(MOST_RANGES, max(1, -(-total // RANGE_ROWS))))
-    found = df.select(F.percentile_approx(key, [i / ranges for i in range(1, ranges)], 10 * ranges)).first()[0] if ranges > 1 else None
-    bounds = sorted({b for b in found or () if b > low})
-    # Two steps of about the square root of their number find the range.
-    step = max(1, int(len(bounds) ** 0.5))
-    at = F.size(F.filter(_longs(bounds[step - 1 :: step]), lambda b: b <= F.col(key))) * step
-    place = at + F.size(F.filter(F.slice(_longs(bounds), at + 1, F.lit(step)), lambda b: b <= F.col(key)))
-    first = F.col(key).isNull() if nulls else F.col(key) == F.lit(low)
-    opening = df.filter(F.col(key).isin(bounds) | first).withColumn("_range", F.when(first, F.lit(len(bounds))).otherwise(place - 1))
-    both = df.withColumn("_range", place).withColumn("_opens", F.lit(False)).unionByName(opening.withColumn("_opens", F.lit(True)))
-    order = f"partition by _range order by _opens, {key} asc nulls first, {', '.join(carry)}"
-    out = both.select("*", *(F.expr(f"lead({c}) over ({order})").alias(f"next_{c}") for c in carry))
-    return out.filter(~F.col("_opens")).drop("_range", "_opens")
+def before_each(rows: DataFrame, order: list[str], carry: list[str]) -> DataFrame:
+    """``carry`` of every row of ``rows`` (with ``order``, ascending, nulls first, which is unique), with ``before_<c>``: what the row before it has (before the first comes the last)."""
+    ranges = max(1, -(-rows.count() // RANGE_ROWS))
+    ranged = rows.repartitionByRange(ranges, *(F.asc_nulls_first(c) for c in order)) if ranges > 1 else rows
+    ranged = cut_lineage(ranged.withColumn("range", F.spark_partition_id() if ranges > 1 else F.lit(0)))
+    within = Window.partitionBy("range").orderBy(*(F.asc_nulls_first(c) for c in order))
+    # A few numbers for each range: what its last row has.  Structs compare by their fields, nulls first.
+    ends = ranged.groupBy("range").agg(F.max(F.struct(*order, *(F.col(c).alias(f"_{c}") for c in carry))).alias("end"))
+    over = Window.orderBy("range")
+    ends = ends.select("range", F.coalesce(F.lag("end").over(over), F.last("end").over(over.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("end"))
+    held = ranged.withColumn("held", F.lag(F.struct(*carry)).over(within)).join(ends, "range")
+    return held.select(*carry, *(F.when(F.col("held").isNull(), F.col(f"end._{c}")).otherwise(F.col(f"held.{c}")).alias(f"before_{c}") for c in carry))
 
 
 def _longs(values: list[int]) -> Column:
@@ -142,16 +140,19 @@ def _longs(values: list[int]) -> Column:
 def fingerprint_documents(docs: DataFrame) -> DataFrame:
     """Fingerprints of every text and of its edited text: the last half replaced by the start of the next document's.
 
-    doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
+    doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, next_doc_id.
     """
-    rows = dealt(docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"], F.lit("")).alias("text")))
-    rows = rows.withColumn("print", fingerprint(F.col("text")))
-    rows = with_next(rows, "doc_id", ["text", "print"])
+    base = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text")).withColumn("id", F.monotonically_increasing_id())
+    half = lambda text: F.floor(F.char_length(text) / 2).cast("int")
+    order = before_each(base.select("doc_id", F.xxhash64("text").alias("tie"), "id", half(F.col("text")).alias("half")), ["doc_id", "tie", "id"], ["id", "half"])
+    # Both sides of the join below start from this shuffle; they take the same columns, so that it is done once.
+    rows = dealt(base).withColumn("print", fingerprint(F.col("text"))).join(order.drop("half"), "id")
+    begins = rows.select(F.col("before_id").alias("id"), F.col("doc_id").alias("next_doc_id"), F.substring("text", F.lit(1), F.col("before_half")).alias("begin"), F.col("print").alias("next_print"))
+    rows = rows.select("id", "doc_id", "text", "print").join(begins, "id")
     n = F.char_length("text")
-    half = F.floor(n / 2).cast("int")
-    rows = rows.withColumn("n_chars", n.cast("long")).withColumn("edited", F.concat(F.substring("text", F.lit(1), n - half), F.substring("next_text", F.lit(1), half)))
-    rows = rows.select("doc_id", "n_chars", "print", "next_print", F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"), fingerprint(F.col("edited")).alias("edited_print"))
+    rows = rows.withColumn("n_chars", n.cast("long")).withColumn("edited", F.concat(F.substring("text", F.lit(1), n - half(F.col("text"))), "begin"))
+    rows = rows.select("doc_id", "n_chars", "print", "next_print", "next_doc_id", F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"), fingerprint(F.col("edited")).alias("edited_print"))
     # What follows reads the edited fingerprint three times: it is bound once.
     three = _let(F.col("edited_print"), lambda e: F.struct(as_hex(e).alias("hex"), likeness(F.col("print"), e).alias("near")))
     rows = rows.withColumn("edited", three)
-    return rows.select("doc_id", "n_chars", "edited_sha256", as_hex(F.col("print")).alias("fingerprint"), F.col("edited.hex").alias("edited_fingerprint"), F.col("edited.near").alias("near_edited"), likeness(F.col("print"), F.col("next_print")).alias("near_next"))
+    return rows.select("doc_id", "n_chars", "edited_sha256", as_hex(F.col("print")).alias("fingerprint"), F.col("edited.hex").alias("edited_fingerprint"), F.col("edited.near").alias("near_edited"), likeness(F.col("print"), F.col("next_print")).alias("near_next"), "next_doc_id")

@@ -325,7 +325,7 @@ def test_weighted_shards(spark):
 
 def test_fingerprints(rows, docs, empty):
     shingles = lambda t: {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w := words_of(t)) > 4 else {tuple(w)}
-    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, np.uint64(xxhash.xxh64_intdigest((r[1] or "").encode(), 42)).astype(np.int64)))
     got = fingerprints.fingerprint_documents(docs).collect()
     errors, by_hash = [], {}
     assert len(got) == len(rows)
@@ -344,7 +344,8 @@ def test_fingerprints(rows, docs, empty):
 
 def test_ranges_keep_the_order(spark, monkeypatch):
     monkeypatch.setattr(fingerprints, "RANGE_ROWS", 7)
-    ids = random.Random(8).sample(range(10_000), 100)
-    got = fingerprints.with_next(spark.createDataFrame([(i, str(i)) for i in ids], "doc_id long, text string").repartition(3), "doc_id", ["text"]).collect()
-    ids = sorted(ids)
-    assert sorted((r.doc_id, int(r.next_text)) for r in got) == list(zip(ids, ids[1:] + ids[:1], strict=True))
+    ids = random.Random(8).sample(range(10_000), 60) + [77_777] * 40 + [None]
+    frame = spark.createDataFrame([(i, k) for k, i in enumerate(ids)], "doc_id long, id long").repartition(3)
+    got = fingerprints.before_each(frame, ["doc_id", "id"], ["id"]).collect()
+    want = sorted(range(len(ids)), key=lambda k: (ids[k] is not None, ids[k] or 0, k))
+    assert sorted((r.id, r.before_id) for r in got) == sorted(zip(want, want[-1:] + want[:-1], strict=True))
