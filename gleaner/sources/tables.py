@@ -20,6 +20,28 @@ def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def relation(spark: SparkSession, source: str, name: str, key: str | None = None, bounds: tuple[int, int] | None = None, partitions: int = 16, **options: str) -> DataFrame:
+    """A relation of a database (``jdbc:...``, whose driver is on the class path) or of a folder of Parquet.
+
+    With a numeric ``key`` and its ``bounds`` the database is read in ``partitions`` slices of the key; rows beyond
+    the bounds come with the outer slices.  Filters and columns are pushed to the database.
+    """
+    if not source.startswith("jdbc:"):
+        return read(spark, source, name)
+    reader = spark.read.format("jdbc").option("url", source).option("dbtable", name).options(**options)
+    if key and bounds:
+        reader = reader.option("partitionColumn", key).option("lowerBound", bounds[0]).option("upperBound", bounds[1]).option("numPartitions", partitions)
+    return reader.load()
+
+
+def replace_relation(rows: DataFrame, target: str, name: str, **options: str) -> None:
+    """A merged snapshot into a database, whose table keeps its definition, or as Parquet."""
+    if target.startswith("jdbc:"):
+        rows.write.format("jdbc").option("url", target).option("dbtable", name).option("truncate", "true").options(**options).mode("overwrite").save()
+    else:
+        rows.write.mode("overwrite").parquet(f"{target}/{name}.parquet")
+
+
 def json_config(path: str | Path) -> dict:
     """A JSON object; nothing, with a warning, if it can't be read."""
     try:

@@ -66,3 +66,28 @@ def test_depth_rules_and_rates(spark):
     assert [tuple(x) for x in rows.select(crawl.with_scheme(F.col("u")), crawl.start_depth(F.col("d"), F.col("r"))).collect()] == [("https://a.example", 1), ("http://b.example", 0), ("https://c.example", 2)]
     log = spark.createDataFrame([(str(i), f"u{i}", "d", at(t)) for i, t in enumerate(["2024-03-01 10:59:59", "2024-03-01 11:00:01", "2024-03-01 11:30:00", "2024-03-01 13:00:00", "2024-03-01 13:00:02"])], "id string, url string, domain string, scraped_at timestamp")
     assert {r.id: r.gap for r in crawl.rate_violations(log, 3.0).collect()} == {"1": 2.0, "4": 2.0}
+
+
+def test_relations_of_a_database(spark, tmp_path):
+    url, driver = f"jdbc:derby:{tmp_path}/db;create=true", "org.apache.derby.iapi.jdbc.AutoloadedDriver"
+    rows = spark.createDataFrame([(i, f"d{i}.example") for i in range(20)], "id int, domain string")
+    tables.replace_relation(rows, url, "companies", driver=driver)
+    tables.replace_relation(rows.filter("id < 15"), url, "companies", driver=driver)
+    got = tables.relation(spark, url, "companies", key="id", bounds=(0, 15), partitions=3, driver=driver)
+    assert got.rdd.getNumPartitions() == 3 and sorted(r.DOMAIN if hasattr(r, "DOMAIN") else r.domain for r in got.collect()) == sorted(f"d{i}.example" for i in range(15))
+    assert "PushedFilters: [" in (plan := got.filter("id > 12")._jdf.queryExecution().executedPlan().toString()) and "GreaterThan" in plan
+    tables.replace_relation(rows, str(tmp_path), "companies")
+    assert tables.relation(spark, str(tmp_path), "companies").count() == 20
+
+
+def test_phones_found_by_form():
+    """What the rules find of each kind of number; figures are in the README."""
+    from gleaner.functions import people as P
+
+    forms = {
+        "international": ["+44 20 7946 0018", "+49 30 9018 2000", "+47 55 20 30 40", "+420 601 123 456", "+33 1 42 68 53 00", "+91 98765 43210", "+61 2 9374 4000", "+351 21 123 4567"],
+        "north american": ["(212) 555-0142", "212-555-0142", "212.555.0142", "+1 212 555 0142", "1 212 555 0142", "2125550142"],
+        "national": ["020 7946 0018", "030 9018 2000", "01 42 68 53 00", "098765 43210", "601 123 456", "(02) 9374 4000"],
+    }
+    found = {kind: sum(P.phones_in(f"Call {n} today") != [] for n in numbers) for kind, numbers in forms.items()}
+    assert found == {"international": 8, "north american": 6, "national": 0}
