@@ -123,14 +123,17 @@ def fit(docs: DataFrame) -> Model | None:
     ship(docs.sparkSession)
     slim = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["lang"].cast("string").alias("lang")).filter((_fold() != HELD_OUT) & F.col("lang").isNotNull() & (F.col("lang") != UNKNOWN))
     slim = slim.withColumn("pick", _pick())
-    common = slim.groupBy("lang").agg(F.approx_count_distinct("pick").alias("picks"))
+    common = cut_lineage(slim.groupBy("lang").agg(F.approx_count_distinct("pick").alias("picks")))
+    if common.count() * CENTROIDS * DIMENSIONS * 4 > MODEL_BYTES:
+        raise ValueError("so many languages make a model that is too large to send to every executor")
+    # A row a language, so many at most as the model may have, is small enough to broadcast.
     # Distinct picks are uniform in [0, 1), so the smallest of a language lie under this, with room for the estimate's
     # error of some percent; only these few are ranked, each id once.
-    few = slim.join(common, "lang").filter(F.col("pick") * F.col("picks") <= 4 * PER_LANGUAGE).select("lang", "pick").distinct()
+    few = slim.join(F.broadcast(common), "lang").filter(F.col("pick") * F.col("picks") <= 4 * PER_LANGUAGE).select("lang", "pick").distinct()
     ranked = few.withColumn("rank", F.expr("row_number() over (partition by lang order by pick)"))
     last = ranked.filter(F.col("rank") <= PER_LANGUAGE).groupBy("lang").agg(F.max("pick").alias("last"))
     sample = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["lang"].cast("string").alias("lang"), docs["text"].cast("string").alias("text")).filter(_fold() != HELD_OUT)
-    sample = sample.withColumn("pick", _pick()).join(last, "lang").filter(F.col("pick") <= F.col("last"))
+    sample = sample.withColumn("pick", _pick()).join(F.broadcast(last), "lang").filter(F.col("pick") <= F.col("last"))
     sample = cut_lineage(sample.groupBy("lang", "pick").agg(F.min("text").alias("text")).select("lang", "text"))
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,8 +159,6 @@ def fit(docs: DataFrame) -> Model | None:
         made = _cluster(x, min(CENTROIDS, len(x))) if len(x) else x
         return pa.table({"lang": pa.array([table.column("lang")[0].as_py()] * len(made), pa.string()), "k": pa.array(range(len(made)), pa.int32()), "body": pa.array([c.astype(np.float32).tobytes() for c in made], pa.binary())})
 
-    if last.count() * CENTROIDS * DIMENSIONS * 4 > MODEL_BYTES:
-        raise ValueError("so many languages make a model that is too large to send to every executor")
     rows = sorted(sample.groupBy("lang").applyInArrow(clustered, "lang string, k int, body binary").collect())
     languages = sorted({r.lang for r in rows})
     place = {lang: k for k, lang in enumerate(languages)}
