@@ -12,13 +12,16 @@ occurs HISTORY times or more.  A state has an arc for every word seen after it,
 the end of what was read; the root has an arc for every word.  A word without an arc takes the failure
 arc, weighing log (K / (c + K)), to the state of the shorter history, and so on to the root.  A text is
 read once from left to right from the state of an end, carrying the state and adding up what the arcs
-weigh (``Automaton.read``).  The end of a text is a token.
+weigh.  Wherever a word's arc is found, it leads to the longest state that ends in that word; so the state
+carried over each word is known beforehand, and all words of a block take their arcs, or their failure
+arcs, in one sweep for each order (``Automaton.read``).  The end of a text is a token.
 
 The automaton grows with the corpus and is never gathered in one place.  Each block of documents gets the
 counts of its own n-grams and builds the part of the automaton that its texts can reach.  A first
 exchange counts words and pairs, by the hash of the whole pair, so that a frequent word's pairs are spread
-over all parts; a second counts the triples whose first pair is a state and whose last pair occurs.  Items are told apart by 64-bit hashes: of 10^12 distinct n-grams some 30,000 pairs would
-be taken for one.
+over all parts; a second counts the triples whose first pair is a state and whose last pair occurs.  Items
+are told apart by 55 bits of hash: of 10^10 distinct n-grams some 1,400 are taken for another, of 10^12 one in
+70,000.
 
 Defined cases: A-Z are lower-cased; tokens are ``[^\\x20\\x09-\\x0D]+`` and one end; a null or empty
 text is its end alone; with no training document at all every token has the unknown word's
@@ -44,10 +47,9 @@ K2, K3 = 500.0, 10.0
 #: Training occurrences of a pair that is a state.
 HISTORY = 2
 FOLDS, HELD_OUT = 5, 1
-#: Bytes of text whose part of the automaton is in memory at once.
-BLOCK_BYTES = 2 << 20
 _U = np.uint64
-_ONE = _U(1)
+#: Bits of a hash that are kept, and the bit that tells pairs and triples from words.  The lowest byte is zero, which packs to nothing.
+_KEPT, _LONG = _U(0xFFFF_FFFF_FFFF_FE00), _U(0x100)
 #: No token holds white space, so this can't be one.
 _END = np.uint64(xxhash.xxh64_intdigest(b"\n"))
 
@@ -58,7 +60,7 @@ def fold(doc_id: int | None) -> int:
 
 
 class _Block:
-    """A block's tokens as words and pairs, the distinct ones sorted by hash; words have even hashes, pairs odd ones."""
+    """A block's tokens as words and pairs, the distinct ones sorted by hash."""
 
     def __init__(self, table: pa.Table) -> None:
         codes, words, starts = tokens(table.column("text"), lower=True)
@@ -72,14 +74,14 @@ class _Block:
         inner = np.ones(len(to), bool)
         inner[last] = False
         to[inner], to[last] = codes, end
-        hashes = np.append(word_hashes(words), _END) & ~_ONE
+        hashes = np.append(word_hashes(words), _END) & _KEPT
         self.train = np.repeat(~self.held, self.size)
         self.words, place = np.unique(hashes, return_inverse=True)
-        self.end, self.w = int(place[end]), place[to]
+        self.w = place[to]
         # The state before a text's first token is that of an end.
         before = np.concatenate([[end], to[:-1]])
         self.v = place[before]
-        self.pair_of = mix(hashes[before], hashes[to]) | _ONE
+        self.pair_of = mix(hashes[before], hashes[to]) & _KEPT | _LONG
         self.pairs, self.pair = np.unique(self.pair_of, return_inverse=True)
         self.word_counts = np.bincount(self.w[self.train], minlength=len(self.words))
         self.pair_counts = np.bincount(self.pair[self.train], minlength=len(self.pairs))
@@ -89,7 +91,7 @@ class _Block:
         full = np.ones(len(self.w), bool)
         full[self.first] = False
         at = np.flatnonzero(full)
-        names, triple = np.unique(mix(self.pair_of[at - 1], self.words[self.w[at]]) | _ONE, return_inverse=True)
+        names, triple = np.unique(mix(self.pair_of[at - 1], self.words[self.w[at]]) & _KEPT | _LONG, return_inverse=True)
         return at, triple, names, np.bincount(triple[self.train[at]], minlength=len(names))
 
     def asked(self, counts: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -152,7 +154,7 @@ def _summed(bodies: list[bytes]) -> tuple[np.ndarray, list[np.ndarray], np.ndarr
 def _counted(blocks_: list[str], bodies: list[bytes]) -> Iterator[tuple[str, bytes]]:
     """The sum of all blocks' counts of each item.  The block "" has the part's share of N and V."""
     h, each, total = _summed(bodies)
-    words = total[(h & _ONE) == 0]
+    words = total[(h & _LONG) == 0]
     if len(words):
         yield "", pack(np.array([words.sum(), (words > 0).sum()], np.int64))
     for block, at in zip(blocks_, each, strict=True):
@@ -169,71 +171,50 @@ _COUNTS = Questions(_counted, _united, _dealt)
 
 
 class Automaton:
-    """States 0 (the root), then words, then pairs; of each arc its weight and where it leads, of each state the same for its failure arc."""
-
-    def __init__(self, words: int) -> None:
-        self.words, self.weight, self.to = words, [], []
-        self.arcs: dict[int, int] = {}
-        self.fail, self.fail_weight = [0], [0.0]
-
-    def add_states(self, fail: np.ndarray, weight: np.ndarray) -> None:
-        self.fail += fail.tolist()
-        self.fail_weight += weight.tolist()
-
-    def add_arcs(self, state: np.ndarray, word: np.ndarray, weight: np.ndarray, to: np.ndarray) -> None:
-        self.arcs.update(zip((state * self.words + word).tolist(), range(len(self.weight), len(self.weight) + len(weight)), strict=True))
-        self.weight += weight.tolist()
-        self.to += to.tolist()
-
-    def read(self, text: list[int], state: int) -> float:
-        """The log-probability of a text's words, read from ``state``."""
-        total, arcs, words = 0.0, self.arcs.get, self.words
-        weight, to, fail, fail_weight = self.weight, self.to, self.fail, self.fail_weight
-        for w in text:
-            arc = arcs(state * words + w)
-            while arc is None:
-                total += fail_weight[state]
-                state = fail[state]
-                arc = arcs(state * words + w)
-            total += weight[arc]
-            state = to[arc]
-        return total
-
-
-def _automaton(b: _Block, one: np.ndarray, two: np.ndarray, got: list[tuple[int, bytes]], total: int, distinct: int, k2: float, k3: float) -> tuple[Automaton, np.ndarray]:
-    """The part of the automaton that the block's texts can reach, and the log-probability of each word at the root."""
-    at, triple, names, _, asked = b.asked(two)
-    answers = np.concatenate([unpack(x, None)[0] for _, x in got] or [np.empty(0, np.uint8)]).astype(np.int64)
-    if len(answers) != int(asked.sum()):
-        raise RuntimeError("answers don't fit the block")
-    three = np.zeros(len(names), np.int64)
-    three[asked] = answers
-    n = len(b.words)
-    a = Automaton(n)
-    root = (one + 0.5) / (total + 0.5 * (distinct + 1))
-    # A word's state, or the root where it never occurs; a pair's, or its last word's.  A text ends with an end.
-    word_state = np.where(one > 0, 1 + np.arange(n), 0)
-    pair_v, pair_w = np.empty(len(two), np.int64), np.empty(len(two), np.int64)
-    pair_v[b.pair], pair_w[b.pair] = b.v, b.w
-    pair_state = np.where(two >= HISTORY, 1 + n + np.arange(len(two)), word_state[pair_w])
-    a.add_states(np.zeros(n, np.int64), np.log10(k2 / (one + k2)))
-    a.add_states(word_state[pair_w], np.log10(k3 / (two + k3)))
-    a.add_arcs(np.zeros(n, np.int64), np.arange(n), np.log10(root), word_state)
-    p2 = (two + k2 * root[pair_w]) / (one[pair_v] + k2)
-    s = np.flatnonzero(two > 0)
-    a.add_arcs(1 + pair_v[s], pair_w[s], np.log10(p2[s]), pair_state[s])
-    first, last = np.empty(len(names), np.int64), np.empty(len(names), np.int64)
-    first[triple], last[triple] = b.pair[at - 1], b.pair[at]
-    s = np.flatnonzero(three > 0)
-    p3 = (three[s] + k3 * p2[last[s]]) / (two[first[s]] + k3)
-    a.add_arcs(1 + n + first[s], pair_w[last[s]], np.log10(p3), pair_state[last[s]])
-    return a, np.log10(root)
+    """The part of the automaton that a block's texts can reach: log-weights of the arcs of the root, of words and of pairs, and of failure arcs."""
+
+    def __init__(self, b: _Block, one: np.ndarray, two: np.ndarray, got: list[tuple[int, bytes]], total: int, distinct: int, k2: float, k3: float) -> None:
+        self.at, self.triple, names, _, asked = b.asked(two)
+        answers = np.concatenate([unpack(x, None)[0] for _, x in got] or [np.empty(0, np.uint8)]).astype(np.int64)
+        if len(answers) != int(asked.sum()):
+            raise RuntimeError("answers don't fit the block")
+        three = np.zeros(len(names), np.int64)
+        three[asked] = answers
+        self.b, self.one, self.two, self.three = b, one, two, three
+        root = (one + 0.5) / (total + 0.5 * (distinct + 1))
+        v, w = np.empty(len(two), np.int64), np.empty(len(two), np.int64)
+        v[b.pair], w[b.pair] = b.v, b.w
+        p2 = (two + k2 * root[w]) / (one[v] + k2)
+        first, last = np.empty(len(names), np.int64), np.empty(len(names), np.int64)
+        first[self.triple], last[self.triple] = b.pair[self.at - 1], b.pair[self.at]
+        p3 = (three + k3 * p2[last]) / (two[first] + k3)
+        self.root, self.arc2, self.arc3 = np.log10(root), np.log10(p2), np.log10(p3)
+        self.fail2, self.fail3 = np.log10(k2 / (one + k2)), np.log10(k3 / (two + k3))
+
+    def read(self) -> np.ndarray:
+        """What each word of the block adds to its text's log-probability, from the state that the words before it lead to."""
+        b, out = self.b, np.zeros(len(self.b.w))
+        # In a pair's state: its arc, or the failure arc to the last word's state.
+        deep = self.two[b.pair[self.at - 1]] >= HISTORY
+        at, triple = self.at[deep], self.triple[deep]
+        found = self.three[triple] > 0
+        out[at] = np.where(found, self.arc3[triple], self.fail3[b.pair[at - 1]])
+        todo = np.ones(len(out), bool)
+        todo[at[found]] = False
+        # In a word's state, which those words have that occur: its arc, or the failure arc to the root.
+        at = np.flatnonzero(todo & (self.one[b.v] > 0))
+        found = self.two[b.pair[at]] > 0
+        out[at] += np.where(found, self.arc2[b.pair[at]], self.fail2[b.v[at]])
+        todo[at[found]] = False
+        # At the root, where every word has an arc.
+        out[todo] += self.root[b.w[todo]]
+        return out
 
 
 def score_documents(docs: DataFrame, k2: float = K2, k3: float = K3) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document; logarithms to base 10."""
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
-    parts, rows = parts_for(docs), blocks(rows, block_bytes=BLOCK_BYTES)
+    parts, rows = parts_for(docs), blocks(rows)
     pairs = cut_lineage(answered(emitted(rows, _ask_pairs(parts)), _COUNTS, parts))
     # N and V: a pair of numbers from each part, summed as rows.
     sums = pairs.filter("block = ''").mapInArrow(_totals, "n long, v long").agg(F.sum("n"), F.sum("v")).first()
@@ -244,14 +225,11 @@ def score_documents(docs: DataFrame, k2: float = K2, k3: float = K3) -> DataFram
     def work(table: pa.Table, got: dict) -> pa.Table:
         b = _Block(table)
         one, two = _pair_counts(b, got["pairs"])
-        automaton, root = _automaton(b, one, two, got["triples"], total, distinct, k2, k3)
-        start = 1 + b.end if len(b.words) and one[b.end] > 0 else 0
-        text, cut = b.w.tolist(), [*b.first.tolist(), len(b.w)]
-        scores = [automaton.read(text[i:j], start) for i, j in zip(cut, cut[1:], strict=False)]
+        automaton = Automaton(b, one, two, got["triples"], total, distinct, k2, k3)
         by_doc = lambda x: np.add.reduceat(x, b.first) if b.docs else np.empty(0)
         return pa.table({
             "doc_id": b.ids, "held_out": pa.array(b.held), "n_tokens": pa.array(b.size, pa.int64()), "n_known": pa.array(by_doc((one[b.w] > 0).astype(np.int64)), pa.int64()),
-            "train_tokens": pa.array(np.full(b.docs, total), pa.int64()), "base_score": by_doc(root[b.w]), "score": pa.array(scores, pa.float64()),
+            "train_tokens": pa.array(np.full(b.docs, total), pa.int64()), "base_score": by_doc(automaton.root[b.w]), "score": by_doc(automaton.read()),
         })
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
