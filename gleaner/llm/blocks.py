@@ -64,9 +64,26 @@ def mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return x
 
 
-def word_hashes(words: pa.Array, seed: int = 0) -> np.ndarray:
-    digest = xxhash.xxh64_intdigest
-    return np.fromiter((digest(w, seed) for w in words.cast(pa.binary()).to_pylist()), np.uint64, len(words))
+def byte_strings(words: pa.Array) -> list[bytes]:
+    """The UTF-8 of strings without nulls."""
+    if not len(words):
+        return []
+    _, offsets, data = words.buffers()
+    at = np.frombuffer(offsets, np.int64 if pa.types.is_large_string(words.type) else np.int32)[words.offset : words.offset + len(words) + 1].tolist()
+    raw = data.to_pybytes() if data is not None else b""
+    return [raw[x:y] for x, y in zip(at, at[1:], strict=False)]
+
+
+def word_hashes(words: pa.Array) -> np.ndarray:
+    digest = xxhash.xxh64_digest
+    return np.frombuffer(b"".join([digest(w) for w in byte_strings(words)]), ">u8").astype(np.uint64)
+
+
+def word_hash_pairs(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent hashes of each word."""
+    digest = xxhash.xxh3_128_digest
+    both = np.frombuffer(b"".join([digest(w) for w in byte_strings(words)]), ">u8").astype(np.uint64).reshape(-1, 2)
+    return both[:, 0].copy(), both[:, 1].copy()
 
 
 def window_hashes(h: np.ndarray, width: int) -> np.ndarray:

@@ -38,14 +38,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.blocks import _U, cut_lineage, dealt, mix, release, tokens, window_hashes, word_hashes
+from gleaner.llm.blocks import _U, byte_strings, cut_lineage, dealt, mix, release, tokens, window_hashes, word_hashes
 from gleaner.session import ship
 
 WINDOW, COVERAGE = 8, 0.5
 #: Words of an item that contaminate by themselves if they are copied verbatim.
 VERBATIM = 35
 #: Texts of so many bytes are taken at once.
-STEP = 2 << 20
+STEP = 4 << 20
 #: Logarithm of the number of bits that tell a document's windows apart from the benchmark's, and of their slices.
 BITS, SLICES = 24, 5
 
@@ -59,6 +59,10 @@ WORD, NUMBER, QUANTITY, NAME, UNIT, NONE = range(6)
 
 def classify(token: str) -> tuple[int, str, bool]:
     """Kind of a raw token by itself (a capitalised word counts as a name here), its plain form, and whether it ends a sentence."""
+    bare = token.rstrip(".,;:!?")
+    if bare.isalpha():  # most words; what follows gives the same for them
+        plain = bare.lower()
+        return (UNIT if plain in UNITS else NAME if bare[0].isupper() and not bare.isupper() else WORD), plain, token[-1] in ".!?:"
     ends = token.rstrip("\"')]}»”’")[-1:] in tuple(".!?:")
     core = _CORE.search(token)
     if core is None:
@@ -77,7 +81,7 @@ class Words:
 
     def __init__(self, text: pa.Array) -> None:
         codes, words, starts = tokens(text, lower=False)
-        made = [classify(w) for w in words.to_pylist()]
+        made = [classify(w.decode()) for w in byte_strings(words)]
         kind = np.array([k for k, _, _ in made], np.int8)[codes] if made else np.empty(0, np.int8)
         ends = np.array([e for _, _, e in made], bool)[codes] if made else np.empty(0, bool)
         plain = pa.array([p for _, p, _ in made], pa.string())

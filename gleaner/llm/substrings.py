@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from gleaner.llm.blocks import Questions, answered, blocks, cut_lineage, cuts_of, deltas, emitted, fan, mapped, mix, pack, parts_for, tokens, undeltas, unpack, window_hashes, with_answers, word_hashes
+from gleaner.llm.blocks import Questions, answered, blocks, byte_strings, cut_lineage, cuts_of, deltas, emitted, fan, mapped, mix, pack, parts_for, tokens, undeltas, unpack, window_hashes, with_answers, word_hash_pairs
 
 WINDOW = 35
 #: Pair rounds, and the words that a symbol may stand for at most.
@@ -75,7 +75,8 @@ def parse(h: np.ndarray, doc: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndar
 def _words(table: pa.Table) -> tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     codes, words, starts = tokens(table.column("text"), lower=False)
     doc = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
-    return codes, words, starts, doc, word_hashes(words)[codes], word_hashes(words, 1)[codes]
+    one, two = word_hash_pairs(words)
+    return codes, words, starts, doc, one[codes], two[codes]
 
 
 def _symbols(h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -257,7 +258,7 @@ def digests(docs: DataFrame) -> DataFrame:
 
 
 def _kept(codes: np.ndarray, words: pa.Array, starts: np.ndarray, gone: np.ndarray) -> Iterator[tuple[bytes, int]]:
-    raw = np.array(words.cast(pa.binary()).to_pylist() + [b""], object)
+    raw = np.array(byte_strings(words) + [b""], object)
     for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
         keep = codes[a:b][~gone[a:b]]
         yield b" ".join(raw[keep].tolist()), b - a - len(keep)
