@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import gc
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -224,6 +225,12 @@ def release() -> None:
 # ---------------------------------------------------------------- exchange
 
 
+def give_back(df: DataFrame) -> None:
+    """Lets Spark delete the shuffle files of steps that end in checkpoints, which it does once the driver has no use of them and collects its garbage."""
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+
+
 def plan_bytes(df: DataFrame) -> int:
     """Bytes of the tables that a plan reads; by its partitions where Catalyst doesn't know them."""
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()

@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.blocks import Questions, answered, blocks, cut_lineage, cuts_of, deltas, emitted, fan, mapped, mix, narrow, pack, parts_for, tokens, undeltas, unpack, with_answers, word_hashes
+from gleaner.llm.blocks import Questions, answered, blocks, cut_lineage, cuts_of, deltas, emitted, fan, give_back, mapped, mix, narrow, pack, parts_for, tokens, undeltas, unpack, with_answers, word_hashes
 
 #: Strength of the next lower order, in tokens.
 K2, K3 = 500.0, 10.0
@@ -220,6 +220,7 @@ def score_documents(docs: DataFrame, k2: float = K2, k3: float = K3) -> DataFram
     sums = pairs.filter("block = ''").mapInArrow(_totals, "n long, v long").agg(F.sum("n"), F.sum("v")).first()
     total, distinct = (int(x or 0) for x in sums)
     pairs = pairs.filter("block <> ''")
+    give_back(docs)  # the questions about pairs, the largest part of what is shuffled
     triples = answered(emitted(with_answers(rows, pairs=pairs), _ask_triples(parts), ("pairs",)), _COUNTS, parts).filter("block <> ''")
 
     def work(table: pa.Table, got: dict) -> pa.Table:
