@@ -25,6 +25,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
+import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -227,8 +228,10 @@ def release() -> None:
 
 def give_back(df: DataFrame) -> None:
     """Lets Spark delete the shuffle files of steps that end in checkpoints, which it does once the driver has no use of them and collects its garbage."""
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
+    for _ in range(3):  # what the first collection sets free, the next one finds
+        gc.collect()
+        df.sparkSession.sparkContext._jvm.System.gc()
+        time.sleep(0.4)
 
 
 def plan_bytes(df: DataFrame) -> int:
