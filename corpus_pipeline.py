@@ -2,8 +2,9 @@
 
 1. language ID: documents too far from every learned language, or without letters, go;
 2. near-dedup: of every group linked by a Jaccard similarity of 0.8 or more between the sets of five-word
-   shingles the document with the smallest doc_id stays; min-hash keys find the pairs (``nearcopies``), as
-   SimHashes of such texts differ in too many bits to be looked up;
+   shingles the document with the smallest doc_id stays; pigeonring over their SimHashes finds the nearest pairs,
+   min-hash keys finish the classes (``nearcopies``), as most SimHashes of such texts differ in more bits than can
+   be looked up;
 3. substring dedup: words in passages of 35 words or more that start elsewhere too are removed;
 4. benchmark decontamination: documents that hold a benchmark item go;
 5. SentencePiece: texts become piece ids, with the decoded text beside them.

@@ -1,20 +1,24 @@
-"""Near copies by the Jaccard similarity of word shingles.
-
-A 64-bit SimHash can't serve a similarity of 0.8: such texts differ in ten bits on average, and a radius
-that holds nearly all of them is beyond what exact segment keys can look up.  So candidates meet on keys
-of min-hashes, and the similarity itself is computed from the whole shingle sets:
-
-1. Texts with one shingle set collapse to one node.
-2. A node has ``BANDS`` keys of ``ROWS`` min-hashes and a sketch, one byte of each min-hash.  A pair
-   of similarity s shares no key with probability (1 - s^ROWS)^BANDS: 3e-6 at 0.8, and less above.
-3. Every node is held against one other, the node among its keys that shares most keys with others.  What the
-   sketch lets pass is compared exactly; the links make first components, which take in most of a large group.
-   The sketch turns a pair away if fewer than ``LEAST`` of its bytes agree; nothing is lost by that, as step 4
-   doesn't ask it.
-4. Keys whose nodes aren't all in one component yet get the whole shingle sets of their nodes, and every pair
+"""Near copies by the Jaccard similarity of word shingles: SimHash, pigeonring, and what these can't reach.
+
+SimHashes of the shingle sets that differ in at most three bits are found by the pigeonring filter of
+``simhash``; the similarity itself is computed from the whole sets.  That alone isn't the whole job: texts of
+similarity 0.8 differ in ten of 64 bits on average, and a radius that holds nearly all of them is beyond what exact
+segment keys can look up.  So classes that the pigeonring made are finished on keys of min-hashes:
+
+1. Texts with one shingle set collapse to one node, which has a SimHash, and ``BANDS`` keys of ``ROWS`` min-hashes
+   with a sketch, one byte of each min-hash.  A pair of similarity s shares no key with probability
+   (1 - s^ROWS)^BANDS: 3e-6 at 0.8, and less above.
+2. Nodes of one SimHash are held against the smallest of them, and those against each other along the links that the
+   pigeonring gives.  Whole sets decide; the links make the first classes.
+3. Every node is held against one more, the node among its keys that shares most keys with others, unless it is in
+   that node's class.  These links and the first ones make classes that take in most of a large group.
+4. Keys whose nodes aren't all in one class yet get the whole shingle sets of their nodes, and every pair
    that isn't linked already is compared.  A task gives a spanning forest of its links, never all pairs.  A key
    of more than ``HOT`` nodes is dealt out as pairs of chunks, so no task takes a whole group and no pair is lost.
 
+In steps 2 and 3 the sketch turns a pair away first if fewer than ``LEAST`` of its bytes agree, and the pigeonring gives
+a spanning forest of which an edge may be turned away; nothing is lost by either, as step 4 asks neither.
+
 Defined cases: words are ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z; fewer words than a shingle has:
 the whole sequence; no words or a null text: the empty set, equal to itself and unlike any other; very long
 texts are read whole; of equal doc_ids the first row counts; an empty table stays empty; columns keep their
@@ -32,12 +36,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.blocks import cut_lineage, dealt, mix, parts_for, release, tokens, window_hashes, word_hashes
+from gleaner.llm import simhash
+from gleaner.llm.blocks import cut_lineage, dealt, give_back, mix, parts_for, release, tokens, window_hashes, word_hashes
 from gleaner.llm.graph import components
 from gleaner.session import ship
 
 BANDS, ROWS = 42, 6
-#: Share of a sketch's bytes that must agree in step 3.
+#: Share of a sketch's bytes that must agree in steps 2 and 3.
 LEAST = 0.7
 #: Nodes of a key that a task takes whole, and a chunk of more.
 HOT, CHUNK = 1024, 512
@@ -89,18 +94,29 @@ def band_keys(sets: list[np.ndarray]) -> tuple[list[np.ndarray], list[bytes | No
 
 
 def _nodes(slim: DataFrame, width: int) -> DataFrame:
-    """(_row, doc_id, node, keys, sketch) of (_row, doc_id, text)."""
+    """(_row, doc_id, node, print, keys, sketch) of (_row, doc_id, text); the empty set has no print."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in stepped(batch, 2):
                 sets = shingles(part.column(2), width)
                 nodes = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
+                prints = np.array([simhash.folded(s) for s in sets], np.uint64).view(np.int64)
                 keys, sketch = band_keys(sets)
+                empty = np.array([not len(s) for s in sets], bool)
                 release()
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(nodes), pa.array(keys, pa.list_(pa.int64())), pa.array(sketch, pa.binary())], names=["_row", "doc_id", "node", "keys", "sketch"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(nodes), pa.array(prints, mask=empty), pa.array(keys, pa.list_(pa.int64())), pa.array(sketch, pa.binary())], names=["_row", "doc_id", "node", "print", "keys", "sketch"])
+
+    return slim.mapInArrow(make, "_row long, doc_id long, node long, print long, keys array<long>, sketch binary")
+
 
-    return slim.mapInArrow(make, "_row long, doc_id long, node long, keys array<long>, sketch binary")
+def _ringed(nodes: DataFrame) -> DataFrame:
+    """(a, b): nodes of one SimHash, and nodes whose SimHashes the pigeonring links."""
+    first = cut_lineage(nodes.filter("print is not null").groupBy("print").agg(F.min("node").alias("least")))
+    same = nodes.join(first, "print").filter("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b"))
+    found = cut_lineage(simhash.links(first.select(F.col("print").alias("p"))))
+    a, b = (first.select(F.col("print").alias(f"print_{x}"), F.col("least").alias(x)) for x in "ab")
+    return same.union(found.toDF("print_a", "print_b").join(a, "print_a").join(b, "print_b").select("a", "b"))
 
 
 def alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
@@ -209,6 +225,12 @@ def _stars(keyed: DataFrame) -> DataFrame:
     return best.select(F.col("hub.node").alias("a"), F.col("node").alias("b")).filter("a <> b")
 
 
+def _between(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose nodes ``labels`` (node, root) doesn't put into one class."""
+    a, b = (labels.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}")) for x in "ab")
+    return pairs.join(a, "a", "left").join(b, "b", "left").filter("coalesce(root_a, a) <> coalesce(root_b, b)").select("a", "b")
+
+
 def drop_near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
     """One document of each group that links of at least ``similarity`` connect: the one with the smallest doc_id, and of rows that repeat that id the first.
 
@@ -220,10 +242,13 @@ def drop_near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8) -
     placed = docs.toDF(*(f"_c{i}" for i in range(len(names)))).withColumn("_row", F.monotonically_increasing_id())
     slim = placed.select("_row", F.col(f"_c{names.index('doc_id')}").cast("long").alias("doc_id"), F.col(f"_c{names.index('text')}").cast("string").alias("text"))
     first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_row")
-    nodes = cut_lineage(_nodes(dealt(slim), width).groupBy("node").agg(F.min(first).alias("first"), F.min("_row").alias("row"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")))
+    nodes = cut_lineage(_nodes(dealt(slim), width).groupBy("node").agg(F.min(first).alias("first"), F.min("_row").alias("row"), F.first("print").alias("print"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")))
+    near = cut_lineage(_verified(_ringed(nodes), nodes, slim, width, similarity))
+    classes = components(near)
     keyed = nodes.select("node", F.explode("keys").alias("key"))
     keyed = cut_lineage(keyed.join(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "key"))
-    links = cut_lineage(_verified(_stars(keyed), nodes, slim, width, similarity))
+    give_back(docs)
+    links = cut_lineage(near.union(_verified(_between(_stars(keyed), classes), nodes, slim, width, similarity)))
     roots = components(links.union(_across(keyed.select("node", "key"), components(links), nodes, slim, width, similarity)))
     joined = nodes.select("node", "first").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     keep = joined.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first._row").alias("_row"))

@@ -48,7 +48,12 @@ def simhash(text: str | None) -> int:
         return 0
     shingles = map(b" ".join, zip(*(words[i:] for i in range(WIDTH)), strict=False)) if len(words) >= WIDTH else [b" ".join(words)]
     digest = xxhash.xxh64_digest
-    raw = np.frombuffer(b"".join([digest(s, SEED) for s in shingles]), np.uint8).reshape(-1, 8)
+    return folded(np.frombuffer(b"".join([digest(s, SEED) for s in shingles]), ">u8"))
+
+
+def folded(hashes: np.ndarray) -> int:
+    """The fingerprint of shingles' hashes."""
+    raw = hashes.astype(">u8", copy=False).view(np.uint8).reshape(-1, 8)
     ones = np.zeros(64, np.int64)
     for i in range(0, len(raw), STEP):
         ones += np.unpackbits(raw[i : i + STEP], axis=1).sum(axis=0, dtype=np.int64)

@@ -79,3 +79,26 @@ def test_stage_on_the_small_table(spark, data):
     docs = spark.read.parquet(f"{data}/documents.parquet")
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, data).collect()) == brute_kept(rows)
+
+
+def test_pigeonring_links_what_is_near(spark, tmp_path):
+    rng = random.Random(4)
+    texts = [" ".join(f"w{rng.randrange(9000)}" for _ in range(900)) for _ in range(30)]
+    rows = list(enumerate([*texts, *(edited(rng, t, 1) for t in texts), "", None]))
+    slim = frame(spark, rows, tmp_path).selectExpr("doc_id as _row", "doc_id", "text")
+    nodes = nearcopies._nodes(slim, 5).dropDuplicates(["node"])
+    prints = {r.node: r.print for r in nodes.collect()}
+    assert sorted(p is None for p in prints.values()) == [False] * 60 + [True]
+    doc = {r.node: r.doc_id for r in nodes.collect()}
+    pairs = [(r.a, r.b) for r in nearcopies._ringed(nodes).collect()]
+    want = {frozenset((a, b)) for a in prints for b in prints if a < b and None not in (prints[a], prints[b]) and ((prints[a] ^ prints[b]) & (1 << 64) - 1).bit_count() <= 3}
+    assert {frozenset(p) for p in pairs} == want and len(want) > 10
+    assert all(abs(doc[a] - doc[b]) == 30 for a, b in pairs)
+
+
+def test_stage_goes_by_the_pigeonring_first(spark, tmp_path, monkeypatch):
+    rows = near_rows()
+    # Without min-hash keys only the pigeonring's links are left, and those are found.
+    monkeypatch.setattr(nearcopies, "band_keys", lambda sets, made=nearcopies.band_keys: ([k[:0] for k in made(sets)[0]], made(sets)[1]))
+    got = sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, frame(spark, rows, tmp_path), "").collect())
+    assert len(brute_kept(rows)) < len(got) < len({frozenset(shingles(t)) for _, t in rows})
