@@ -20,29 +20,42 @@ from pyspark.sql import functions as F
 from gleaner.llm import decontam, langid, nearcopies, sentencepieces, substrings
 
 
+#: Bytes at most of a batch that goes to a Python worker, unless a row has more; Spark's own bound is 64 MB.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds batches by bytes: executor and worker each hold some of them at once."""
+    if spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch() > BATCH_BYTES:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return langid.keep_identified(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return nearcopies.drop_near_copies(docs, width=5, similarity=0.8)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return substrings.remove_repeats(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return decontam.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    path = str(public_tokenizers.path("piece_bpe_32k.model"))
-    encoded = sentencepieces.encode_documents(docs.select("doc_id", "text"), path)
-    decoded = sentencepieces.decode_documents(encoded.drop("text"), path)
-    return decoded.select("doc_id", F.size("piece_ids").cast("long").alias("n_pieces"), "piece_ids", "decoded")
+    small_batches(spark)
+    made = sentencepieces.round_trips(docs.select("doc_id", "text"), str(public_tokenizers.path("piece_bpe_32k.model")))
+    return made.select("doc_id", F.size("piece_ids").cast("long").alias("n_pieces"), "piece_ids", "decoded")
 
 
 STAGES = [("language ID", language_id), ("near-dedup", near_dedup), ("substring dedup", substring_dedup), ("benchmark decontamination", decontaminate), ("SentencePiece encoding and decoding", sentencepiece)]

@@ -46,6 +46,7 @@ PART_BYTES = 2 << 20
 FAN = 512
 BLOCK_SCHEMA = "block string, body binary"
 ANSWER_SCHEMA = "block string, part int, body binary"
+MESSAGE_SCHEMA = "part int, block string, body binary"
 
 _U = np.uint64
 _C1, _C2, _C3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93))
@@ -162,33 +163,40 @@ def dealt(docs: DataFrame) -> DataFrame:
     return docs.repartition(cores) if cores > 1 and len(docs.inputFiles()) == 1 and docs.rdd.getNumPartitions() == 1 else docs
 
 
-def blocks(docs: DataFrame, weight: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """One row per block: its name and its rows as an Arrow stream.  A row is never split."""
+def _cut(batches: Iterator[pa.RecordBatch], weight: str, block_bytes: int) -> Iterator[tuple[str, bytes]]:
+    """The name of each block of a partition, and its rows as an Arrow stream."""
+    pid, seq, held, size = TaskContext.get().partitionId(), 0, [], 0
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pid, seq, held, size = TaskContext.get().partitionId(), 0, [], 0
+    def out(rows: list[pa.RecordBatch]) -> tuple[str, bytes]:
+        body = to_ipc(pa.Table.from_batches(rows))
+        return f"{pid}-{seq}-{xxhash.xxh3_64_hexdigest(body)}", body
 
-        def out() -> pa.RecordBatch:
-            body = to_ipc(pa.Table.from_batches(held))
-            return pa.RecordBatch.from_pydict({"block": [f"{pid}-{seq}-{xxhash.xxh3_64_hexdigest(body)}"], "body": pa.array([body], pa.binary())})
+    for batch in batches:
+        lengths = pc.fill_null(pc.binary_length(batch.column(weight)), 0).to_numpy(zero_copy_only=False)
+        total, begin = np.cumsum(lengths, dtype=np.int64), 0
+        while begin < batch.num_rows:
+            before = int(total[begin - 1]) if begin else 0
+            end = min(batch.num_rows, max(begin, int(np.searchsorted(total, before + block_bytes - size))) + 1)
+            held.append(batch.slice(begin, end - begin))
+            size += int(total[end - 1]) - before
+            begin = end
+            if size >= block_bytes:
+                made = out(held)
+                seq, held, size = seq + 1, [], 0
+                yield made
+    if held:
+        yield out(held)
 
-        for batch in batches:
-            lengths = pc.fill_null(pc.binary_length(batch.column(weight)), 0).to_numpy(zero_copy_only=False)
-            total, begin = np.cumsum(lengths, dtype=np.int64), 0
-            while begin < batch.num_rows:
-                before = int(total[begin - 1]) if begin else 0
-                end = min(batch.num_rows, max(begin, int(np.searchsorted(total, before + block_bytes - size))) + 1)
-                held.append(batch.slice(begin, end - begin))
-                size += int(total[end - 1]) - before
-                begin = end
-                if size >= block_bytes:
-                    yield out()
-                    seq, held, size = seq + 1, [], 0
-        if held:
-            yield out()
+
+def blocks(docs: DataFrame, weight: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """One row per block: its name and its rows as an Arrow stream.  A row is never split."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for name, body in _cut(batches, weight, block_bytes):
+            yield pa.RecordBatch.from_pydict({"block": [name], "body": pa.array([body], pa.binary())})
 
     ship(docs.sparkSession)
-    return dealt(docs).mapInArrow(cut, BLOCK_SCHEMA)
+    return dealt(docs).mapInArrow(run, BLOCK_SCHEMA)
 
 
 def to_ipc(table: pa.Table) -> bytes:
@@ -253,13 +261,30 @@ def emitted(source: DataFrame, emit: Callable[[str, pa.Table, dict[str, list]],
         for batch in batches:
             for i in range(batch.num_rows):
                 name, table, got = _block_row(batch, i, answers)
-                rows = list(emit(name, table, got))
+                yield from _messages(name, table, got, emit)
                 del table, got
                 release()
-                if rows:
-                    yield pa.RecordBatch.from_pydict({"part": pa.array([p for p, _ in rows], pa.int32()), "block": [name] * len(rows), "body": pa.array([b for _, b in rows], pa.binary())})
 
-    return source.mapInArrow(run, "part int, block string, body binary")
+    return source.mapInArrow(run, MESSAGE_SCHEMA)
+
+
+def emitted_by_blocks(docs: DataFrame, emit: Callable[[str, pa.Table, dict[str, list]], Iterator[tuple[int, bytes]]], weight: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """``emitted`` of the ``blocks`` of ``docs``, by one Python worker of a task instead of two."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for name, body in _cut(batches, weight, block_bytes):
+            yield from _messages(name, from_ipc(body), {}, emit)
+            del body
+            release()
+
+    ship(docs.sparkSession)
+    return dealt(docs).mapInArrow(run, MESSAGE_SCHEMA)
+
+
+def _messages(name: str, table: pa.Table, got: dict[str, list], emit: Callable[[str, pa.Table, dict[str, list]], Iterator[tuple[int, bytes]]]) -> Iterator[pa.RecordBatch]:
+    rows = list(emit(name, table, got))
+    if rows:
+        yield pa.RecordBatch.from_pydict({"part": pa.array([p for p, _ in rows], pa.int32()), "block": [name] * len(rows), "body": pa.array([b for _, b in rows], pa.binary())})
 
 
 @dataclass(frozen=True)

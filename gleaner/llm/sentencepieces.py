@@ -32,7 +32,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame
-from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from gleaner.llm.blocks import dealt, release
 from gleaner.session import ship
@@ -40,6 +40,8 @@ from gleaner.session import ship
 MARK = "▁"
 #: Bytes of text whose distinct words are encoded at once, and words that a worker remembers.
 STEP, MOST_PAIRS = 4 << 20, 500_000
+#: The same where ids and decoded texts are held beside the texts: 108 MB a worker at most on documents, 275 by STEP.
+SMALL_STEP = 1 << 20
 #: Characters of the words that a worker remembers, and of the longest that it does; some 40 MB.
 REMEMBERED, LONGEST = 1 << 20, 32
 #: The library's and this module's pieces of these must be the same.
@@ -288,11 +290,11 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
-def _steps(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[pa.RecordBatch]:
+def _steps(batches: Iterator[pa.RecordBatch], at: int, step: int | None = None) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue
-        total = np.cumsum(pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False), dtype=np.int64) // STEP
+        total = np.cumsum(pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False), dtype=np.int64) // (step or STEP)
         cuts = [0, *(np.flatnonzero(np.diff(total)) + 1).tolist(), batch.num_rows]
         for a, b in zip(cuts, cuts[1:], strict=False):
             yield batch.slice(a, b - a)
@@ -335,11 +337,29 @@ def decode_documents(encoded: DataFrame, path: str, ids: str = "piece_ids", into
                 made = codec(path).decode(lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64), ends)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array([m.decode(errors="replace") for m in made], pa.string())], names=[*part.schema.names, "_text"])
 
-    from pyspark.sql.types import StringType
-
     return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("_text", StringType())])).toDF(*names, into)
 
 
+def round_trips(docs: DataFrame, path: str, ids: str = "piece_ids", into: str = "decoded") -> DataFrame:
+    """The columns of ``docs`` but ``text``, with the ids of its pieces and the text that these stand for, by one Python worker of a task."""
+    ship(docs.sparkSession)
+    docs = docs.drop(ids, into)
+    at = docs.columns.index("text")
+    names = [c for i, c in enumerate(docs.columns) if i != at]
+    rows = dealt(docs.toDF(*(f"_c{i}" for i in range(len(docs.columns)))))
+    fields = [f for i, f in enumerate(rows.schema.fields) if i != at]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _steps(batches, at, SMALL_STEP):
+            made, ends = codec(path).encode(part.column(at).to_pylist())
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(made, pa.int32()))
+            texts = pa.array([m.decode(errors="replace") for m in codec(path).decode(made.astype(np.int64), ends)], pa.string())
+            kept = [i for i in range(part.num_columns) if i != at]
+            yield from _small(pa.RecordBatch.from_arrays([*(part.column(i) for i in kept), lists, texts], names=[*(part.schema.names[i] for i in kept), "_ids", "_text"]))
+
+    return rows.mapInArrow(run, StructType([*fields, StructField("_ids", ArrayType(IntegerType())), StructField("_text", StringType())])).toDF(*names, ids, into)
+
+
 def digests(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_pieces, ids_sha256 (ids as little-endian 32-bit numbers), decoded_sha256, round_trip of every document."""
     ship(docs.sparkSession)

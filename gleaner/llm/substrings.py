@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from gleaner.llm.blocks import Questions, answered, blocks, byte_strings, cut_lineage, cuts_of, deltas, emitted, fan, mapped, mix, pack, parts_for, tokens, undeltas, unpack, window_hashes, with_answers, word_hash_pairs
+from gleaner.llm.blocks import Questions, answered, blocks, byte_strings, cut_lineage, cuts_of, deltas, emitted, emitted_by_blocks, fan, mapped, mix, pack, parts_for, tokens, undeltas, unpack, window_hashes, with_answers, word_hash_pairs
 
 WINDOW = 35
 #: Pair rounds, and the words that a symbol may stand for at most.
@@ -221,7 +221,7 @@ def _removed(table: pa.Table, got: dict) -> tuple[np.ndarray, pa.Array, np.ndarr
 def _answered_blocks(docs: DataFrame) -> DataFrame:
     parts = parts_for(docs)
     rows = blocks(docs)
-    symbols = cut_lineage(answered(emitted(rows, _ask_symbols(parts)), Questions(_shared_symbols, _united_symbols, _dealt), parts))
+    symbols = cut_lineage(answered(emitted_by_blocks(docs, _ask_symbols(parts)), Questions(_shared_symbols, _united_symbols, _dealt), parts))
     windows = answered(emitted(with_answers(rows, symbols=symbols), _ask_windows(parts), ("symbols",)), Questions(_shared_windows, _united_windows, _dealt), parts)
     return with_answers(rows, symbols=symbols, windows=windows)
 
