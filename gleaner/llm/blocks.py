@@ -261,9 +261,10 @@ def emitted(source: DataFrame, emit: Callable[[str, pa.Table, dict[str, list]],
         for batch in batches:
             for i in range(batch.num_rows):
                 name, table, got = _block_row(batch, i, answers)
-                yield from _messages(name, table, got, emit)
+                rows = list(emit(name, table, got))
                 del table, got
                 release()
+                yield from _messages(name, rows)
 
     return source.mapInArrow(run, MESSAGE_SCHEMA)
 
@@ -273,16 +274,16 @@ def emitted_by_blocks(docs: DataFrame, emit: Callable[[str, pa.Table, dict[str,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for name, body in _cut(batches, weight, block_bytes):
-            yield from _messages(name, from_ipc(body), {}, emit)
+            rows = list(emit(name, from_ipc(body), {}))
             del body
             release()
+            yield from _messages(name, rows)
 
     ship(docs.sparkSession)
     return dealt(docs).mapInArrow(run, MESSAGE_SCHEMA)
 
 
-def _messages(name: str, table: pa.Table, got: dict[str, list], emit: Callable[[str, pa.Table, dict[str, list]], Iterator[tuple[int, bytes]]]) -> Iterator[pa.RecordBatch]:
-    rows = list(emit(name, table, got))
+def _messages(name: str, rows: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
     if rows:
         yield pa.RecordBatch.from_pydict({"part": pa.array([p for p, _ in rows], pa.int32()), "block": [name] * len(rows), "body": pa.array([b for _, b in rows], pa.binary())})
 

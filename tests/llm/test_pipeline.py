@@ -53,4 +53,4 @@ def test_messages_of_blocks_take_one_worker(spark, data):
 
     want, got = blocks.emitted(blocks.blocks(docs, block_bytes=1 << 16), emit), blocks.emitted_by_blocks(docs, emit, block_bytes=1 << 16)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() > 8
-    assert got._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
